@@ -75,7 +75,7 @@ def generate_evals(
     )
     asked = (
         _newest_claims(medical_claim, patient_id, document_limit)
-        .select("*", document_text().alias("content"), F.inline(pairs))
+        .select("*", document_text().alias("content"), F.inline_outer(pairs))
         .where(F.col("question").isNotNull() & (F.size("expected_facts") > 0))
     )
     messages = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content")))

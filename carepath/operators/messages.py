@@ -54,8 +54,8 @@ def prepend_system(conversations: DataFrame, prompt: str | None) -> DataFrame:
 def message_chunks(conversations: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     """One delta per message, numbered from 0 in order; conversations without messages give none."""
     return conversations.select(
-        "conv_id", "part_no", F.posexplode("messages").alias("pos", "m")
-    ).select(
+        "conv_id", "part_no", F.posexplode_outer("messages").alias("pos", "m")
+    ).where(F.col("pos").isNotNull()).select(
         "conv_id",
         (F.col("part_no") * part_size + F.col("pos")).cast("bigint").alias("chunk_no"),
         F.col("m.role").alias("role"),

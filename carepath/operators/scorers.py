@@ -238,10 +238,11 @@ def evaluate(records: DataFrame, scorers: Sequence[str | Use] = EVALUATION_SCORE
             F.when(some, found).otherwise(F.lit(spec.empty_reason)).alias("rationale"),
         )
         rows.append(row if use.condition is None else F.when(F.col(f"_w{i}"), row))
-    scores = F.array(*rows)
-    if flags:
-        scores = F.array_compact(scores)
-    return counted.select(*passed, scores.alias("_s")).select(*passed, F.inline("_s"))
+    # inline_outer: for plain inline the optimizer adds a size(...) > 0 filter below,
+    # which would compute every score a second time.
+    scores = F.array_compact(F.array(*rows)) if flags else F.array(*rows)
+    long = counted.select(*passed, scores.alias("_s")).select(*passed, F.inline_outer("_s"))
+    return long.where(F.col("scorer").isNotNull()) if flags else long
 
 
 def evaluate_answers(dataset: DataFrame, responses: DataFrame, scorers: Sequence[str] = EVALUATION_SCORERS) -> DataFrame:

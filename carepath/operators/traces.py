@@ -32,10 +32,14 @@ def _rationale(a: Column) -> Column:
 
 
 def trace_assessments(parsed: DataFrame) -> DataFrame:
-    """One row per assessment; feedback false and 0 are values, not blanks."""
+    """One row per assessment; feedback false and 0 are values, not blanks.
+
+    posexplode_outer and a filter on its result: for plain posexplode the optimizer
+    would put a size(...) > 0 filter below and parse every trace twice.
+    """
     return parsed.select(
-        "trace_id", "state", F.posexplode("assessments").alias("pos", "a")
-    ).select(
+        "trace_id", "state", F.posexplode_outer("assessments").alias("pos", "a")
+    ).where(F.col("pos").isNotNull()).select(
         "trace_id",
         "state",
         (F.col("pos") + 1).alias("assessment_no"),

@@ -35,8 +35,12 @@ def scorer_sample(traces: DataFrame, scorers: Sequence[MonitorScorer], use_filte
         F.when(_condition(s) if use_filters else in_sample(s.name, F.col("trace_id"), s.sample_rate), F.lit(s.name))
         for s in scorers
     ]
-    return traces.select("trace_id", F.array_compact(F.array(*picks)).alias("p")).select(
-        "trace_id", F.explode("p").alias("scorer")
+    # an array with NULLs for the scorers not picked, unfolded and then cleared of them:
+    # cheaper than array_compact, and no filter that would hash every trace twice
+    return (
+        traces.select("trace_id", F.array(*picks).alias("p"))
+        .select("trace_id", F.explode_outer("p").alias("scorer"))
+        .where(F.col("scorer").isNotNull())
     )
 
 
