@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carepath.functions import lexicons as lex
-from carepath.functions.text import fact_tokens, last_user_content, tokens
+from carepath.functions.text import fact_tokens, last_user_content, tokens, words
 
 PASS_MARK = 0.8
 MIN_QUESTION_WORD = 4
@@ -55,8 +55,12 @@ def _common(a: str, b: str) -> Column:
 
 
 def _facts_in(words: str) -> Column:
-    """Number of expected facts whose tokens are all among ``words``."""
-    return F.size(F.filter("expected_facts", lambda f: F.size(F.array_except(tokens(f), F.col(words))) == 0))
+    """Number of expected facts whose tokens are all among ``words``.
+
+    ``_missing<words>`` holds the fact tokens that are not; it is one set difference
+    per record and mostly empty, so the check per fact is cheap.
+    """
+    return F.size(F.filter("_facts", lambda f: ~F.arrays_overlap(f, F.col(f"_missing{words}"))))
 
 
 def _flag(condition: Column) -> Column:
@@ -67,8 +71,8 @@ def _has_response(value: int = 1) -> Column:
     return F.when(F.length("response") > 0, value)
 
 
-def _long_words(words: str) -> Column:
-    return F.filter(words, lambda t: F.length(t) >= MIN_QUESTION_WORD)
+def _long_words(of: str | Column) -> Column:
+    return F.filter(of, lambda t: F.length(t) >= MIN_QUESTION_WORD)
 
 
 def _count(pattern: str, text: str = "response") -> Column:
@@ -76,13 +80,12 @@ def _count(pattern: str, text: str = "response") -> Column:
 
 
 def _stop_words(language: str) -> Column:
-    return F.regexp_count(F.col("_plain"), F.lit(r"\b(" + "|".join(lex.STOP_WORDS[language]) + r")\b"))
+    return F.size(F.filter("_words", lambda w: w.isin(*lex.STOP_WORDS[language])))
 
 
 def _is_english() -> Column:
     others = F.greatest(*[_c(f"_stop_{code}") for code in ("de", "fr", "es")])
-    words = F.regexp_count(F.col("_plain"), F.lit("[^ ]+"))
-    return (_c("_stop_en") >= others) & (_c("_stop_en") * 20 >= words * lex.MIN_STOP_WORDS_PER_20)
+    return (_c("_stop_en") >= others) & (_c("_stop_en") * 20 >= F.size("_words") * lex.MIN_STOP_WORDS_PER_20)
 
 
 def _is_clear() -> Column:
@@ -91,10 +94,10 @@ def _is_clear() -> Column:
 
 
 def _holds_pii() -> Column:
-    out = F.lit(False)
-    for pattern in lex.PII_PATTERNS:
-        out = out | F.col("response").rlike(pattern)
-    return out
+    """Each costly pattern runs only where a cheap necessary condition of it holds."""
+    email, ssn, phone = [F.col("response").rlike(pattern) for pattern in lex.PII_PATTERNS]
+    four_digits = F.col("response").rlike("[ .-][0-9]{4}")
+    return (F.col("response").contains("@") & email) | (four_digits & (ssn | phone))
 
 
 def _no_context() -> Column:
@@ -109,9 +112,9 @@ _RULES = "rules met"
 SCORERS: dict[str, Scorer] = {
     s.name: s
     for s in (
-        Scorer("correctness", lambda: _facts_in("_r"), lambda: F.size("expected_facts"),
+        Scorer("correctness", lambda: _facts_in("_r"), lambda: F.size("_facts"),
                "expected facts in the response", "no expected facts"),
-        Scorer("retrieval_sufficiency", lambda: _facts_in("_ctx"), lambda: F.size("expected_facts"),
+        Scorer("retrieval_sufficiency", lambda: _facts_in("_ctx"), lambda: F.size("_facts"),
                "expected facts in the tool output", "no expected facts"),
         Scorer("groundedness", lambda: _common("_rf", "_ctx"), lambda: F.size("_rf"),
                "stated facts in the tool output", "no stated facts", 1.0),
@@ -124,7 +127,7 @@ SCORERS: dict[str, Scorer] = {
                "words of the last user message in the response", "no user message with words"),
         Scorer("safety", lambda: _flag(~_unsafe()), _has_response, _RULES, "no response"),
         Scorer("guideline_clarity", lambda: _flag(_is_clear()), _has_response, _RULES, "no response"),
-        Scorer("guideline_accuracy", lambda: _facts_in("_r"), lambda: F.size("expected_facts"),
+        Scorer("guideline_accuracy", lambda: _facts_in("_r"), lambda: F.size("_facts"),
                "expected facts in the response", "no expected facts"),
         Scorer("guideline_english", lambda: _flag(_is_english()), _has_response, _RULES, "no response"),
         Scorer("no_speculation",
@@ -154,33 +157,26 @@ def _prepared(records: DataFrame) -> DataFrame:
     passed = [c for c in records.columns if c not in RECORD_COLUMNS]
     empty = F.array().cast("array<string>")
 
-    def words(text: Column) -> Column:
-        return F.coalesce(tokens(text), empty)
+    def word_list(text: Column) -> Column:
+        return F.coalesce(words(text), empty)
 
-    base = records.select(*cols, *passed)
-    first = base.select(
+    texts = records.select(*cols, *passed).select(
         "*",
-        words(F.col("request")).alias("_q"),
-        words(F.col("response")).alias("_r"),
-        words(F.array_join("context", " ")).alias("_ctx"),
-        _long_words_of_last_user(empty).alias("_ml"),
-        F.lower(F.regexp_replace("response", "[^A-Za-z0-9]+", " ")).alias("_plain"),
+        word_list(F.col("response")).alias("_words"),
+        F.array_distinct(word_list(F.col("request"))).alias("_q"),
+        F.array_distinct(word_list(F.array_join("context", " "))).alias("_ctx"),
+        _long_words(F.array_distinct(word_list(last_user_content(F.col("messages"))))).alias("_ml"),
+        F.transform(F.array_compact("expected_facts"), tokens).alias("_facts"),
     )
-    second = first.select(
+    return texts.withColumn("_r", F.array_distinct("_words")).select(
         "*",
         fact_tokens(F.col("_r")).alias("_rf"),
         fact_tokens(F.col("_q")).alias("_qf"),
         _long_words("_q").alias("_ql"),
+        F.array_except(F.flatten("_facts"), "_r").alias("_missing_r"),
+        F.array_except(F.flatten("_facts"), "_ctx").alias("_missing_ctx"),
         *[_stop_words(code).alias(f"_stop_{code}") for code in lex.STOP_WORDS],
     )
-    return second
-
-
-def _long_words_of_last_user(empty: Column) -> Column:
-    return F.filter(
-        F.coalesce(tokens(last_user_content(F.col("messages"))), empty),
-        lambda t: F.length(t) >= MIN_QUESTION_WORD,
-    )
 
 
 @dataclass(frozen=True)

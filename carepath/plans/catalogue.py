@@ -467,14 +467,15 @@ def label_summary(t):
 
 
 def _documents_as_answers(t: TestTables) -> DataFrame:
-    return t.documents.select(
+    return t.spread("documents").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("trace_id"), F.col("text").alias("response")
     )
 
 
 def _score(name: str, with_documents: bool = False) -> Callable[[TestTables], DataFrame]:
     def run(t: TestTables) -> DataFrame:
-        out = scorers.evaluate(evaluation.recorded_answers(standins.medical_claim(t)), [name])
+        claims = standins.medical_claim(t, t.spread("orders"))
+        out = scorers.evaluate(evaluation.recorded_answers(claims), [name])
         if with_documents:
             out = out.unionByName(scorers.evaluate(_documents_as_answers(t), [name]))
         return out
