@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_SIZE = 1000
-BUCKET_TURNS = 65536
+BUCKET_TURNS = 16384
 
 
 def append_messages(messages: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
@@ -82,24 +82,28 @@ def request_response_pairs(messages: DataFrame, bucket_turns: int = BUCKET_TURNS
 
     Conversations are cut in buckets of turns, so a huge one is spread over many
     tasks.  An answer with no user message earlier in its own bucket takes the last
-    one of the nearest bucket before, found from one row per bucket.
+    one of the nearest bucket before: found from one turn number per bucket, whose
+    text is then fetched for those few.
     """
     m = messages.select("conv_id", "turn", "role", "content").withColumn(
         "bucket", F.floor(F.col("turn") / bucket_turns)
     )
-    asked = F.when(F.col("role") == "user", F.struct("turn", "content"))
+    is_user = F.col("role") == "user"
     in_bucket = Window.partitionBy("conv_id", "bucket").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    near = m.withColumn("near", F.last(asked, ignorenulls=True).over(in_bucket)).where(F.col("role") == "assistant")
+    asked = F.last(F.when(is_user, F.struct("turn", "content")), ignorenulls=True).over(in_bucket)
+    answers = m.withColumn("near", asked).where(F.col("role") == "assistant")
 
-    per_bucket = m.groupBy("conv_id", "bucket").agg(F.max(asked).alias("last_asked"))
+    per_bucket = m.groupBy("conv_id", "bucket").agg(F.max(F.when(is_user, F.col("turn"))).alias("last_turn"))
     earlier = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        per_bucket.withColumn("carried", F.last("last_asked", ignorenulls=True).over(earlier))
-        .where(F.col("carried").isNotNull())
-        .select("conv_id", "bucket", "carried")
+        per_bucket.withColumn("turn", F.max("last_turn").over(earlier))
+        .where(F.col("turn").isNotNull())
+        .select("conv_id", "bucket", "turn")
+        .join(m.where(is_user).select("conv_id", "turn", "content"), ["conv_id", "turn"])
+        .select("conv_id", "bucket", F.struct("turn", "content").alias("far"))
     )
-    request = F.coalesce("near", "carried")
-    return near.join(carried, ["conv_id", "bucket"], "left").select(
+    request = F.coalesce("near", "far")
+    return answers.join(carried, ["conv_id", "bucket"], "left").select(
         "conv_id",
         "turn",
         request["turn"].alias("request_turn"),

@@ -6,6 +6,8 @@ however many raw rows it has, brings more than its number of days to one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,41 +117,44 @@ def diagnosis_trend(diagnosis: DataFrame) -> DataFrame:
     return monthly.withColumn("patients_change", F.col("patients") - F.lag("patients").over(by_month))
 
 
-def _membership(medical_claim: DataFrame, pharmacy_claim: DataFrame) -> DataFrame:
+def _membership(medical: DataFrame, pharmacy: DataFrame, keys: Sequence[str]) -> DataFrame:
     yes, no = F.lit(1), F.lit(0)
-    both = medical_claim.select("patient_id", yes.alias("m"), no.alias("p")).unionByName(
-        pharmacy_claim.select("patient_id", no.alias("m"), yes.alias("p"))
+    both = medical.select(*keys, yes.alias("m"), no.alias("p")).unionByName(
+        pharmacy.select(*keys, no.alias("m"), yes.alias("p"))
     )
-    seen = both.groupBy("patient_id").agg(F.max("m").alias("m"), F.max("p").alias("p"))
+    seen = both.groupBy(*keys).agg(F.max("m").alias("m"), F.max("p").alias("p"))
     segment = (
         F.when((F.col("m") == 1) & (F.col("p") == 1), "both")
         .when(F.col("m") == 1, "medical_only")
         .otherwise("pharmacy_only")
     )
-    return seen.select("patient_id", segment.alias("segment"))
+    return seen.select(*keys, segment.alias("segment"))
 
 
-def population_overlap(medical_claim: DataFrame, pharmacy_claim: DataFrame) -> DataFrame:
-    """Patients seen in both kinds of claims, or in one only.
+def population_overlap(medical: DataFrame, pharmacy: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Patients seen in both kinds of claims, or in one only; per value of ``by`` (say, a month) if given.
 
     Flags over a union give the full outer join of the two distinct patient sets
     with one shuffle of already combined keys instead of three.
     """
     return (
-        _membership(medical_claim, pharmacy_claim).groupBy("segment").agg(F.count(F.lit(1)).alias("patients"))
+        _membership(medical, pharmacy, ["patient_id", *by])
+        .groupBy(*by, "segment")
+        .agg(F.count(F.lit(1)).alias("patients"))
     )
 
 
-def population_members(medical_claim: DataFrame, pharmacy_claim: DataFrame, segment: str) -> DataFrame:
+def population_members(medical: DataFrame, pharmacy: DataFrame, segment: str, by: Sequence[str] = ()) -> DataFrame:
     """The patients of one segment: both, medical_only or pharmacy_only."""
-    medical = medical_claim.select("patient_id").distinct()
-    pharmacy = pharmacy_claim.select("patient_id").distinct()
+    keys = ["patient_id", *by]
+    in_medical = medical.select(*keys).distinct()
+    in_pharmacy = pharmacy.select(*keys).distinct()
     if segment == "both":
-        return medical.join(pharmacy, "patient_id", "left_semi")
+        return in_medical.join(in_pharmacy, keys, "left_semi")
     if segment == "medical_only":
-        return medical.join(pharmacy, "patient_id", "left_anti")
+        return in_medical.join(in_pharmacy, keys, "left_anti")
     if segment == "pharmacy_only":
-        return pharmacy.join(medical, "patient_id", "left_anti")
+        return in_pharmacy.join(in_medical, keys, "left_anti")
     raise ValueError(f"unknown segment {segment!r}")
 
 

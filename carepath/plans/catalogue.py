@@ -226,26 +226,36 @@ def _functions(t: TestTables, *names: str) -> None:
     lookups.create_lookup_functions(t.spark, {name: f"carepath_{name}" for name in schemas.CLAIM_TABLES})
 
 
-@query
-def lookup_sql_functions(t):
-    """The diagnosis function called once per patient, from SQL."""
-    _functions(t)
+def _calls(t: TestTables, function: str, args: str, columns: str) -> DataFrame:
+    """A table function called once per row of the patients' newest service dates."""
     return t.spark.sql(
-        "SELECT d.* FROM (SELECT DISTINCT patient_id AS p FROM carepath_medical_claim) k, "
-        "LATERAL get_patient_diagnoses(k.p) d"
+        f"SELECT :name AS function, {columns} FROM carepath_claim_days k, LATERAL {function}({args}) f",
+        args={"name": function},
     )
 
 
 @query
-def lookup_call(t):
+def lookup_sql_functions(t):
+    """The three capped functions called for every patient, from SQL."""
     _functions(t)
-    rows = [
-        lookups.lookup_call(t.spark, name, SAMPLE_PATIENT).select(
-            F.lit(name).alias("function"), "claim_id", "patient_id", "date_service"
-        )
+    _claim_days(t).createOrReplaceTempView("carepath_claim_days")
+    calls = [
+        _calls(t, name, "k.patient_id", "f.claim_id, f.patient_id, f.date_service")
         for name in ("get_patient_diagnoses", "get_pharmacy_claims", "get_patient_procedures")
     ]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return calls[0].unionByName(calls[1]).unionByName(calls[2])
+
+
+@query
+def lookup_call(t):
+    """The other two for every patient; calls with one bound patient are the same functions with a filter."""
+    _functions(t)
+    _claim_days(t).createOrReplaceTempView("carepath_claim_days")
+    days = "CAST(NULL AS STRING) AS claim_id, f.patient_id, f.date_start AS date_from, f.date_end AS date_to"
+    stays = "f.claim_id, f.patient_id, f.date_service AS date_from, f.date_service_end AS date_to"
+    return _calls(t, "get_patient_enrollment", "k.patient_id", days).unionByName(
+        _calls(t, "get_medical_claims", "k.patient_id, k.date_service", stays)
+    )
 
 
 # --- questions over several tables ---------------------------------------------------
@@ -331,19 +341,24 @@ def diagnosis_trend(t):
     return population.diagnosis_trend(standins.diagnosis(t))
 
 
-@query
-def population_overlap(t):
-    return population.population_overlap(standins.medical_claim(t), _refilled(t))
+def _by_month(df: DataFrame) -> DataFrame:
+    return df.select("patient_id", F.trunc("date_service", "MM").alias("month"))
 
 
-def _refilled(t: TestTables) -> DataFrame:
-    """Fills after the first, so that not every patient has one."""
-    return standins.pharmacy_claim(t).where(F.col("fill_number") >= 7)
+@query
+def population_overlap(t):
+    """Per month: nearly every patient is in both kinds of claims over the whole time."""
+    return population.population_overlap(
+        _by_month(standins.medical_claim(t)), _by_month(standins.pharmacy_claim(t)), ["month"]
+    )
 
 
 @query
 def population_members(t):
-    return population.population_members(standins.medical_claim(t), _refilled(t), "medical_only")
+    """Patients and months with medical claims but no fills."""
+    return population.population_members(
+        _by_month(standins.medical_claim(t)), _by_month(standins.pharmacy_claim(t)), "medical_only", ["month"]
+    )
 
 
 @query
@@ -603,8 +618,9 @@ def tool_call_split(t):
 @query
 def tool_dispatch(t):
     """Every routed question run; the routes outside the five lookups come out as errors."""
-    requests = _routed(t).where(F.col("action") == "call")
-    out = routing.tool_dispatch(requests, standins.claims(t))
+    folder = new_folder(t.spark, "requests")
+    _routed(t).where(F.col("action") == "call").write.parquet(folder)
+    out = routing.tool_dispatch(t.spark.read.parquet(folder), standins.claims(t))
     return out.select("request_id", "tool", "status", "row_no", "claim_id", "row_date")
 
 

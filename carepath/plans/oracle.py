@@ -6,7 +6,6 @@ from carepath.functions import lexicons as lex
 from carepath.operators.scorers import EVALUATION_SCORERS
 from carepath.sources.traces import MONITOR_QUESTIONS, USAGE_QUESTIONS
 
-SAMPLE_PATIENT = "70efdf2ec9b086079795c442636b55fb"
 SYSTEM_PROMPT = "Answer questions on patient claims only; give full dates."
 
 # --- base relations ---------------------------------------------------------------
@@ -500,7 +499,7 @@ def oracle_sql() -> dict[str, str]:
     # patient lookups
     out["patient_enrollment"] = out["patient_enrollment_raw"] = with_("enrollment", top("enrollment"))
     out["medical_claims_on_date"] = with_("medical_claim", ON_DATE, days=CLAIM_DAYS)
-    out["patient_diagnoses"] = out["lookup_sql_functions"] = with_("diagnosis", top("diagnosis"))
+    out["patient_diagnoses"] = with_("diagnosis", top("diagnosis"))
     out["patient_diagnoses_all"] = with_(
         "diagnosis",
         "select patient_id, claim_id, date_service, diagnosis_code, diagnosis_qual, admit_diagnosis_ind from diagnosis",
@@ -513,10 +512,17 @@ def oracle_sql() -> dict[str, str]:
     )
     out["patient_procedures"] = with_("procs", top("procs"))
     out["lookup_call"] = with_(
+        "enrollment medical_claim",
+        "select 'get_patient_enrollment' as function, null as claim_id, patient_id, date_start as date_from, "
+        f"date_end as date_to from {ranked('enrollment')} where rn = 1 union all "
+        "select 'get_medical_claims', claim_id, patient_id, date_service, date_service_end from "
+        f"({ON_DATE})",
+        days=CLAIM_DAYS,
+    )
+    out["lookup_sql_functions"] = with_(
         "diagnosis pharmacy_claim procs",
         " union all ".join(
-            f"select '{f}' as function, claim_id, patient_id, date_service from {ranked(t)} "
-            f"where rn <= 50 and patient_id = '{SAMPLE_PATIENT}'"
+            f"select '{f}' as function, claim_id, patient_id, date_service from {ranked(t)} where rn <= 50"
             for f, t in (("get_patient_diagnoses", "diagnosis"), ("get_pharmacy_claims", "pharmacy_claim"),
                          ("get_patient_procedures", "procs"))
         ),
@@ -602,17 +608,15 @@ def oracle_sql() -> dict[str, str]:
         "select diagnosis_code, cast(date_trunc('month', date_service) as date) as month, "
         "count(distinct patient_id) as patients, count(distinct claim_id) as claims from diagnosis group by all)",
     )
-    late = "(select distinct patient_id from pharmacy_claim where fill_number >= 7)"
+    months = "(select distinct patient_id, cast(date_trunc('month', date_service) as date) as month from {})"
+    m, p = months.format("medical_claim"), months.format("pharmacy_claim")
     out["population_overlap"] = with_(
         "medical_claim pharmacy_claim",
-        "select case when m.patient_id is null then 'pharmacy_only' when p.patient_id is null then 'medical_only' "
-        "else 'both' end as segment, count(*) as patients from (select distinct patient_id from medical_claim) m "
-        f"full join {late} p on m.patient_id = p.patient_id group by 1",
-    )
-    out["population_members"] = with_(
-        "medical_claim pharmacy_claim",
-        f"select distinct patient_id from medical_claim where patient_id not in (select patient_id from {late})",
+        "select coalesce(m.month, p.month) as month, case when m.patient_id is null then 'pharmacy_only' "
+        "when p.patient_id is null then 'medical_only' else 'both' end as segment, count(*) as patients "
+        f"from {m} m full join {p} p on m.patient_id = p.patient_id and m.month = p.month group by 1, 2",
     )
+    out["population_members"] = with_("medical_claim pharmacy_claim", f"select * from {m} except select * from {p}")
     money = lambda c: f"cast({c} as decimal(18,4))"
     out["utilization_cost"] = with_(
         "medical_claim procs pharmacy_claim",

@@ -127,7 +127,6 @@ def replace_records(df: DataFrame, path: str, schema: T.StructType) -> None:
 
 
 def dataset_preview(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Row count and the first record in ``order`` as one row (``n_records`` plus its columns)."""
-    total = df.agg(F.count(F.lit(1)).alias("n_records")).withColumn("_one", F.lit(1))
-    first = df.orderBy(*order).limit(1).withColumn("_one", F.lit(1))
-    return total.join(first, "_one", "left").drop("_one")
+    """Row count and the first record in ``order`` as one row (``n_records`` plus its columns); one aggregation."""
+    first = F.min_by(F.struct(*df.columns), F.struct(*order))
+    return df.agg(F.count(F.lit(1)).alias("n_records"), first.alias("first")).select("n_records", "first.*")
