@@ -547,14 +547,18 @@ def score_tool_calls(t):
     return scorers.evaluate(records, ["tool_precision", "tool_recall"])
 
 
+def _evaluation(t: TestTables) -> DataFrame:
+    return evaluation.evaluation_run(standins.medical_claim(t), new_folder(t.spark, "evals"))
+
+
 @query
 def evaluate(t):
-    return evaluation.evaluation_run(standins.medical_claim(t))
+    return _evaluation(t)
 
 
 @query
 def evaluate_summary(t):
-    return scorers.evaluate_summary(evaluation.evaluation_run(standins.medical_claim(t)))
+    return scorers.evaluate_summary(_evaluation(t))
 
 
 # --- traces and messages ------------------------------------------------------------
