@@ -520,9 +520,10 @@ def oracle_sql() -> dict[str, str]:
         days=CLAIM_DAYS,
     )
     out["lookup_sql_functions"] = with_(
-        "diagnosis pharmacy_claim procs",
+        FOUR,
         " union all ".join(
-            f"select '{f}' as function, claim_id, patient_id, date_service from {ranked(t)} where rn <= 50"
+            f"select '{f}' as function, claim_id, patient_id, date_service from {ranked(t)} where rn <= 50 "
+            "and patient_id in (select patient_id from medical_claim)"
             for f, t in (("get_patient_diagnoses", "diagnosis"), ("get_pharmacy_claims", "pharmacy_claim"),
                          ("get_patient_procedures", "procs"))
         ),
