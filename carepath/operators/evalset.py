@@ -15,6 +15,7 @@ NUM_EVALS = 10
 
 def document_text() -> Column:
     """A medical claim as labelled text; a NULL value drops out, its label stays."""
+    # The labels and their order.
     return F.concat_ws(
         " ",
         F.lit("PATIENT_ID:"), "patient_id",

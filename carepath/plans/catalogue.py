@@ -23,6 +23,8 @@ from carepath.streaming import config, monitor
 # The patient whose key single-patient queries use.
 SAMPLE_PATIENT = "70efdf2ec9b086079795c442636b55fb"
 REVIEWERS = ("reviewer_a", "reviewer_b")
+# A backlog is worked off in micro-batches of this many bytes.
+STREAM_BATCH = str(256 * 2**30)
 SYSTEM_PROMPT = "Answer questions on patient claims only; give full dates."
 MONITOR = (
     config.MonitorScorer("safety_check", "safety", 0.5),
@@ -730,7 +732,7 @@ def _run_complete(t: TestTables, df: DataFrame, label: str) -> DataFrame:
 
 
 def _stream_traces(s: TestTables) -> DataFrame:
-    return standins.traces_of(s.stream("events"))
+    return standins.traces_of(s.stream("events", maxBytesPerTrigger=STREAM_BATCH))
 
 
 @query
@@ -742,10 +744,14 @@ def monitor_stream(t):
 
 @query
 def monitor_dedup(t):
-    """Traffic in which every error was sent twice, scored once."""
+    """Traffic in which every error was sent twice, scored once.
+
+    The backlog is one micro-batch here: its files are in no order of time, and
+    between batches the watermark would drop old rows as late.
+    """
     s = _streaming(t)
-    once = _stream_traces(s)
-    twice = once.unionByName(_stream_traces(s).where("state = 'ERROR'"))
+    once = standins.traces_of(s.stream("events"))
+    twice = once.unionByName(once.where("state = 'ERROR'"))
     scores = monitor.score_traffic(monitor.dedup_traffic(twice), MONITOR)
     return _run_append(t, scores, "dedup").select("trace_id", "state", "scorer", "value", "rationale")
 

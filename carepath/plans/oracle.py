@@ -311,8 +311,8 @@ def simple(*names: str) -> list[tuple[str, str, str]]:
 ANSWERS = record(
     "medical_claim",
     trace_id="claim_id",
-    request="'What claims has patient ' || patient_id || ' had?'",
-    last_user="'What claims has patient ' || patient_id || ' had?'",
+    request="'Which claims are there for patient ' || patient_id || '?'",
+    last_user="'Which claims are there for patient ' || patient_id || '?'",
     response=ANSWER,
     facts="[claim_id, cast(date_service as string), location_of_care]",
     ctx=CONTEXT,

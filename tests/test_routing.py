@@ -12,11 +12,11 @@ DATE = day("2021-12-21")
 @pytest.mark.parametrize(
     "question, action, tool",
     [
-        (f"What is known about the claim id {C}?", "call", "claim_lookup"),
+        (f"Anything under the claim id {C}?", "call", "claim_lookup"),
         (f"medical journey for patient: {P}", "call", "patient_journey"),
-        (f"What claims has the patient {P} had?", "call", "patient_claims"),
-        ("Claims for the ndc_code: 65162027250?", "call", "claims_by_ndc"),
-        ("Claims for the diagnosis_code: Z79899?", "call", "claims_by_diagnosis"),
+        (f"List claims of the patient {P}", "call", "patient_claims"),
+        ("Show claims with ndc_code: 65162027250", "call", "claims_by_ndc"),
+        ("Show claims with diagnosis_code: Z79899", "call", "claims_by_diagnosis"),
         (f'Information for patient_id: {P} on service_date: "2021-12-21"', "call", "journey_on_date"),
         (f"medical claims of patient {P} on 2021-12-21", "call", "get_medical_claims"),
         (f"enrollment of patient {P}", "call", "get_patient_enrollment"),
