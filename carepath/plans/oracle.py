@@ -355,8 +355,8 @@ _HEX = "([0-9a-f]{32})"
 
 
 def routed(asked: str) -> str:
-    def found(pattern: str) -> str:
-        return f"nullif(regexp_extract(question, '{pattern}', 1), '')"
+    def found(pattern: str, text: str = "question") -> str:
+        return f"nullif(regexp_extract({text}, '{pattern}', 1), '')"
 
     def says(*words: str) -> str:
         return "(" + " or ".join(f"contains(lower(question), '{w}')" for w in words) + ")"
@@ -365,8 +365,8 @@ def routed(asked: str) -> str:
     code = found("(?:^|[^0-9A-Za-z])([A-Z][0-9][0-9A-Z](?:[.]?[0-9A-Z]{1,4})?)(?:[^0-9A-Za-z]|$)")
     keyed = f"""
         select request_id, question,
-               {found('(?i)patient(?:[ _]id)?[^0-9A-Za-z]+' + _HEX)} as patient_id,
-               {found('(?i)claim(?:[ _]id)?[^0-9A-Za-z]+' + _HEX)} as claim_id,
+               {found('patient(?:[ _]id)?[^0-9a-z]+' + _HEX, 'lower(question)')} as patient_id,
+               {found('claim(?:[ _]id)?[^0-9a-z]+' + _HEX, 'lower(question)')} as claim_id,
                {found('(?:^|[^0-9A-Za-z])([0-9]{11})(?:[^0-9A-Za-z]|$)')} as ndc,
                case when {says('diagnos')} then {code} end as diagnosis_code,
                try_cast({date} as date) as service_date
