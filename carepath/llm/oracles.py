@@ -53,4 +53,25 @@ OP5 = f"""WITH {QUALITY_MEASURES.format(docs='documents')}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {QUALITY_PASSES} AS kept
 FROM judged"""
 
-ORACLES = {"op5_quality_rules": OP5}
+OP3 = """
+WITH sized AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+         sha1(coalesce(html, '')) AS digits
+  FROM pages),
+parts AS (
+  SELECT *, list_transform([1, 11, 21, 31], lambda k: CAST('0x' || substr(digits, k, 10) AS BIGINT)) AS numbers
+  FROM sized),
+named AS (
+  SELECT page_id, payload_bytes,
+         array_to_string(list_transform(numbers, lambda v: array_to_string(list_transform(
+           [35, 30, 25, 20, 15, 10, 5, 0],
+           lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS INTEGER) + 1, 1)), '')), '')
+         AS payload_digest,
+         min(page_id) OVER (PARTITION BY digits) AS first_id
+  FROM parts)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM named"""
+
+ORACLES = {"op3_warc_archives": OP3, "op5_quality_rules": OP5}

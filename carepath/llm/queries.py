@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from carepath.llm import op5_quality
+from carepath.llm import op2_bpe, op3_warc, op5_quality, op6_html
 from carepath.llm.common import table
 from carepath.llm.oracles import ORACLES
 
@@ -18,6 +19,26 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def vocabulary_path() -> str:
+    """The vocabulary that the queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_bpe.digests(op2_bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path()))
+
+
+@query
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = op3_warc.archive(table(spark, sf_dir, "pages"))
+    return op3_warc.read_archives(spark, manifest, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_quality.quality(table(spark, sf_dir, "documents")).select(
@@ -25,5 +46,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_html.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
