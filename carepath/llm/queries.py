@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import op2_bpe, op3_warc, op5_quality, op6_html
+from carepath.llm import op2_bpe, op3_warc, op5_quality, op6_html, op7_minhash
 from carepath.llm.common import table
 from carepath.llm.oracles import ORACLES
 
@@ -53,5 +53,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
