@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from carepath.llm import op5_quality as quality_rules
+from carepath.llm import op8_mixing
 
 
 def _quoted(values) -> str:
@@ -74,4 +75,58 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM named"""
 
-ORACLES = {"op3_warc_archives": OP3, "op5_quality_rules": OP5}
+
+
+def _mix_level(depth: int, mix: op8_mixing.Mix) -> str:
+    """The children of one level: those below the water level are full, the others share the rest."""
+    here, parent = ", ".join(mix.levels[:depth]), list(mix.levels[: depth - 1])
+    cases = " ".join(
+        "WHEN " + " AND ".join(f"{c} = '{n}'" for c, n in zip(mix.levels, path, strict=False) if n != "*") + f" THEN {w}"
+        for path, w in reversed(mix.weights.items())
+        if len(path) == depth
+    )
+    weight = f"CASE {cases} ELSE 1 END" if cases else "1"
+    by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    budget = (
+        f"JOIN level{depth - 1} USING ({', '.join(parent)})" if parent
+        else f"CROSS JOIN (SELECT sum(tokens)::HUGEINT * {mix.budget_percent} // 100 AS budget FROM leaves)"
+    )
+    return f"""nodes{depth} AS (
+  SELECT {here}, sum(capacity)::HUGEINT AS capacity, ({weight})::HUGEINT AS weight FROM leaves GROUP BY {here}),
+ranked{depth} AS (
+  SELECT *, coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before,
+         (sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS after
+  FROM nodes{depth} {budget}
+  WINDOW w AS ({by} ORDER BY capacity::DOUBLE / weight::DOUBLE, {mix.levels[depth - 1]})),
+judged{depth} AS (SELECT *, capacity * after <= (budget - before) * weight AS is_full FROM ranked{depth}),
+level{depth} AS (
+  SELECT {here}, CASE WHEN is_full THEN capacity ELSE
+    ((budget - coalesce(sum(capacity) FILTER (is_full) OVER ({by}), 0)::HUGEINT) * weight)
+    // (sum(weight) FILTER (NOT is_full) OVER ({by}))::HUGEINT END AS budget
+  FROM judged{depth}),"""
+
+
+def mixture(mix: op8_mixing.Mix) -> str:
+    levels = ", ".join(mix.levels)
+    parts = "\n".join(_mix_level(d, mix) for d in range(1, len(mix.levels) + 1))
+    return f"""WITH counted AS (
+  SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_matches(source, '[02468]$') THEN 'books'
+         ELSE 'forums' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents),
+leaves AS (
+  SELECT {levels}, sum(n_tokens) AS tokens, sum(n_tokens) * {mix.max_epochs} AS capacity
+  FROM counted WHERE n_tokens > 0 GROUP BY {levels}),
+{parts}
+plan AS (
+  SELECT {levels}, CAST(budget // tokens AS BIGINT) AS epochs, CAST(budget % tokens AS BIGINT) AS rest
+  FROM leaves JOIN level{len(mix.levels)} USING ({levels})),
+ordered AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY {levels} ORDER BY md5('{mix.seed}:' || epochs || ':' || doc_id), doc_id
+                                ROWS UNBOUNDED PRECEDING) AS reached
+  FROM counted JOIN plan USING ({levels}) WHERE n_tokens > 0)
+SELECT doc_id, {levels}, n_tokens, CAST(epochs + CASE WHEN reached <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM ordered WHERE epochs + CASE WHEN reached <= rest THEN 1 ELSE 0 END > 0"""
+
+
+ORACLES = {"op8_mixture": mixture(op8_mixing.PRODUCTION), "op3_warc_archives": OP3, "op5_quality_rules": OP5}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import op2_bpe, op3_warc, op5_quality, op6_html, op7_minhash
+from carepath.llm import op2_bpe, op3_warc, op5_quality, op6_html, op7_minhash, op8_mixing, op10_fingerprint
 from carepath.llm.common import table
 from carepath.llm.oracles import ORACLES
 
@@ -58,5 +58,15 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_mixing.select(op8_mixing.with_domain(table(spark, sf_dir, "documents")), op8_mixing.PRODUCTION)
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
