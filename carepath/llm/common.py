@@ -34,6 +34,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(df: DataFrame, *keep: str) -> DataFrame:
+    """``df`` whose columns but ``keep`` come out of a generator of one row.
+
+    A later filter on them is then not pushed into their definitions, which it would compute a second time.
+    """
+    made = [c for c in df.columns if c not in keep]
+    return df.select(*keep, F.inline_outer(F.array(F.struct(*made))))
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
 

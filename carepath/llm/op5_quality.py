@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carepath.llm.common import count_of, has_word, let, lines, texts, words
+from carepath.llm.common import computed_once, count_of, has_word, let, lines, texts, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -116,9 +116,10 @@ def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         F.size(F.filter("w", lambda x: x.isin(STOP_FORMS))).cast("long").alias("n_stop_words"),
         grams.alias("grams"),
     )
-    return counted.select(
+    whole = counted.select(
         *(c for c in counted.columns if c != "grams"), _repeated(F.col("grams")).alias("n_repeat_words")
     )
+    return computed_once(whole, *keep)
 
 
 def base_failed() -> Column:

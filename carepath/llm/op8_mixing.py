@@ -11,7 +11,7 @@ Prefixes are cut without sorting a leaf in one task: documents fall into 4096 sl
 summed and only rows of one leaf and slice are ordered together, so a hot source is dealt over thousands of groups.
 
 Defined results: a null level value is the leaf "" of its parent; a null or empty text has no tokens and is never
-selected; rows that repeat a doc_id are counted row by row, and ``take`` keeps all of them if one is selected; a null
+selected; rows that repeat a doc_id are counted row by row, and ``only`` keeps all of them if one is selected; a null
 doc_id is ordered like the empty id; an empty table selects nothing; other columns are not read.
 """
 
@@ -105,9 +105,9 @@ def select(docs: DataFrame, mix: Mix) -> DataFrame:
     return cut.select("doc_id", *levels, "n_tokens", copies.alias("copies")).where("copies > 0")
 
 
-def take(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The selected rows of ``docs`` with all their columns, each once."""
-    chosen = stored(select(docs, mix).select(F.col("doc_id").alias("chosen_id")).distinct(), "mix-chosen")
+def only(docs: DataFrame, selected: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose document is in ``selected``, with all their columns, each once."""
+    chosen = stored(selected.select(F.col("doc_id").alias("chosen_id")).distinct(), "mix-chosen")
     return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]), "left_semi")
 
 

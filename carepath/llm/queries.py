@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import op2_bpe, op3_warc, op5_quality, op6_html, op7_minhash, op8_mixing, op10_fingerprint
+from carepath.llm import (
+    op2_bpe, op3_warc, op4_lines, op5_quality, op6_html, op7_minhash, op8_mixing, op10_fingerprint,
+)
 from carepath.llm.common import table
 from carepath.llm.oracles import ORACLES
 
@@ -68,5 +70,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
