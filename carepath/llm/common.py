@@ -13,6 +13,7 @@ from carepath.session import new_folder
 WHITE = r"[\x20\x09-\x0D]"
 NOT_WHITE = r"[^\x20\x09-\x0D]"
 SHINGLE_WORDS = 5
+BLOCK = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,29 @@ def count_of(text: Column, characters: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("long")
 
 
+def running_sums(values: Column, modulus: int | None = None) -> Column:
+    """Sums of the values before each place and of all (one more than values; one zero for none).
+
+    Blocks are summed by themselves first, so a million values are no quadratic work.
+    """
+    reduce = (lambda x: x % modulus) if modulus else (lambda x: x)
+    add = lambda total, x: F.array_append(total, reduce(F.element_at(total, -1) + x))
+    zero = F.array(F.lit(0).cast("long"))
+    last = F.greatest(F.floor((F.size(values) - 1) / BLOCK), F.lit(0)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(values, k * BLOCK + 1, BLOCK), zero, add))
+
+    def joined(inner: Column) -> Column:
+        starts = F.aggregate(inner, zero, lambda total, b: add(total, F.element_at(b, -1)))
+        shifted = F.zip_with(
+            inner,
+            F.slice(starts, 1, F.size(inner)),
+            lambda b, s: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: reduce(x + s)),
+        )
+        return F.array_append(F.flatten(shifted), F.element_at(starts, -1))
+
+    return let(blocks, joined)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written under the shared folder and read back: computed once, lineage cut."""
     path = new_folder(df.sparkSession, label)

@@ -23,10 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carepath.llm.common import let, lines, stored, texts, words
+from carepath.llm.common import let, lines, running_sums, stored, texts, words
 
 MIN_WORDS = 8
-BLOCK = 256
 # The two largest primes below 2^31; sums and products of residues fit in a long.
 PRIMES = (2147483647, 2147483629)
 
@@ -68,30 +67,6 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return keyed.groupBy("h1", "h2").agg(first, F.first("halves").alias("halves"))
 
 
-def _running(values: Column, prime: int) -> Column:
-    """Sums of the values before each place and of all (one more than values), modulo ``prime``.
-
-    Blocks are summed by themselves first, so a line of a million words is no quadratic work.
-    """
-    add = lambda total, x: F.array_append(total, (F.element_at(total, -1) + x) % prime)
-    zero = F.array(F.lit(0).cast("long"))
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")),
-        lambda k: F.aggregate(F.slice(values, k * BLOCK + 1, BLOCK), zero, add),
-    )
-
-    def joined(inner: Column) -> Column:
-        starts = F.aggregate(inner, zero, lambda total, b: add(total, F.element_at(b, -1)))
-        shifted = F.zip_with(
-            inner,
-            F.slice(starts, 1, F.size(inner)),
-            lambda b, s: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: (x + s) % prime),
-        )
-        return F.array_append(F.flatten(shifted), F.element_at(starts, -1))
-
-    return let(blocks, joined)
-
-
 def _variants(hashes: Column) -> Column:
     """A struct of ``whole``, the line's key, and ``without``, the key without each word, in order.
 
@@ -104,9 +79,9 @@ def _variants(hashes: Column) -> Column:
         here = F.transform(hashes, lambda h, i: (F.pmod(h, F.lit(prime)) * factor(i)) % prime)
         moved = F.transform(hashes, lambda h, i: (F.pmod(h, F.lit(prime)) * factor(i - 1)) % prime)
         return let(
-            _running(here, prime),
+            running_sums(here, prime),
             lambda t: let(
-                _running(moved, prime),
+                running_sums(moved, prime),
                 lambda u: F.struct(
                     F.element_at(t, -1).alias("whole"),
                     F.transform(

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carepath.llm import (
-    op2_bpe, op3_warc, op4_lines, op5_quality, op6_html, op7_minhash, op8_mixing, op10_fingerprint,
+    op1_pii, op2_bpe, op3_warc, op4_lines, op5_quality, op6_html, op7_minhash, op8_mixing, op9_toxicity,
+    op10_fingerprint,
 )
 from carepath.llm.common import table
 from carepath.llm.oracles import ORACLES
@@ -28,6 +29,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_pii.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_bpe.digests(op2_bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path()))
@@ -65,6 +71,11 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_mixing.select(op8_mixing.with_domain(table(spark, sf_dir, "documents")), op8_mixing.PRODUCTION)
 
 
+@query
+def op9_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
