@@ -361,17 +361,17 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model:
     chosen = pages.select("page_id", "html").where("html is not null").join(F.broadcast(sample), "page_id")
 
     def count(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         found: Counter = Counter()
         for batch in batches:
-            for page in batch["html"]:
-                root = parse(page)
+            for page in batch.column("html"):
+                root = parse(page.as_py())
                 if mark_by_markup(root):
                     found.update(counts_of(root))
-        yield pd.DataFrame({"key": list(found), "n": list(found.values())}, columns=["key", "n"])
+        yield pa.RecordBatch.from_pydict({"key": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-    rows = chosen.mapInPandas(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    rows = chosen.mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     return Model(mixed({r["key"]: r["n"] for r in rows}))
 
 
@@ -390,11 +390,14 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model or train(pages))
 
     def texts(batches: Iterator) -> Iterator:
-        for batch in batches:
-            batch["text"] = [main_text(shared.value, page) for page in batch["html"]]
-            yield batch[["page_id", "url", "text"]]
+        import pyarrow as pa
 
-    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInPandas(texts, "page_id string, url string, text string").select(
-        F.col("page_id").cast(pages.schema["page_id"].dataType).alias("page_id"), "url", "text"
-    )
+        for batch in batches:
+            found = [main_text(shared.value, page.as_py()) for page in batch.column("html")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(found, pa.string())], names=["page_id", "url", "text"]
+            )
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    return rows.mapInArrow(texts, f"page_id {kind}, url string, text string")

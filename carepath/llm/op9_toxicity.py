@@ -269,13 +269,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_term
     rows = texts(docs, "doc_id").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        got = sorted((i, t, y) for b in batches for i, t, y in zip(b["doc_id"], b["text"], b["toxic"], strict=True))
+        got = sorted(
+            (row["doc_id"], row["text"], row["toxic"]) for b in batches for row in b.select(["doc_id", "text", "toxic"]).to_pylist()
+        )
         scorer = fit([t for _, t, _ in got], [int(y) for _, _, y in got], max_terms)
-        yield pd.DataFrame({"term": ["", *scorer.weights], "weight": [scorer.intercept, *scorer.weights.values()]})
+        terms, weights = ["", *scorer.weights], [scorer.intercept, *scorer.weights.values()]
+        yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "weight": pa.array(weights, pa.float64())})
 
-    model = rows.coalesce(1).mapInPandas(run, "term string, weight double").collect()
+    model = rows.coalesce(1).mapInArrow(run, "term string, weight double").collect()
     weights = {r["term"]: r["weight"] for r in model}
     intercept = weights.pop("", None)
     return fit([], []) if intercept is None else Scorer(intercept, weights)
