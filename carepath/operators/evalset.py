@@ -27,13 +27,15 @@ def document_text() -> Column:
 
 
 def _newest_claims(medical_claim: DataFrame, patient_id: str | None, limit: int | None) -> DataFrame:
+    if limit is not None and limit < 1:
+        raise ValueError(f"limit must be at least 1 or None, got {limit}")
     columns = schemas.MEDICAL_CLAIM.fieldNames()
     rows = medical_claim.select(*columns)
     order = total_order("date_service", columns)
     if patient_id is not None:
         rows = rows.where(F.col("patient_id") == F.lit(patient_id))
-        return rows.orderBy(*order).limit(limit) if limit else rows
-    return newest_per_key(rows, ["patient_id"], order, limit) if limit else rows
+        return rows if limit is None else rows.orderBy(*order).limit(limit)
+    return rows if limit is None else newest_per_key(rows, ["patient_id"], order, limit)
 
 
 def claim_documents(
@@ -81,12 +83,14 @@ def generate_evals(
     )
     messages = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content")))
     records = asked.withColumn("messages", messages).withColumn("dataset_record_id", record_id(F.col("messages")))
-    keep = newest_per_key(
+    # a claim recorded twice asks its questions once
+    records = newest_per_key(
         records,
-        ["patient_id"],
-        [F.col("dataset_record_id"), F.col("content").asc_nulls_last(), F.col("date_service_end").asc_nulls_last()],
-        num_evals,
+        ["dataset_record_id"],
+        [F.col("content").asc_nulls_last(), F.col("date_service_end").asc_nulls_last()],
+        1,
     )
+    keep = newest_per_key(records, ["patient_id"], [F.col("dataset_record_id")], num_evals)
     return keep.select(
         "dataset_record_id", "patient_id", "claim_id", "date_service", "location_of_care", "pay_type",
         "messages", "expected_facts", "content",
@@ -184,6 +188,7 @@ def sync_labels(dataset: DataFrame, labels: DataFrame) -> DataFrame:
             labelled, F.to_json(F.struct(F.col("l.expected_facts").alias("expected_facts")))
         ).otherwise(F.col("expectations")),
         "last_updated_by": F.coalesce("l.user_name", "last_updated_by"),
-        "last_update_time": F.when(labelled, F.col("l.labelled_at")).otherwise(F.col("last_update_time")),
+        # a label never turns the record's time back; greatest skips NULLs
+        "last_update_time": F.greatest("last_update_time", "l.labelled_at"),
     }
     return d.select(*[changed.get(c, F.col(c)).alias(c) for c in schemas.EVAL_TABLE.fieldNames()])

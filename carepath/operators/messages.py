@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from carepath.functions.text import record_id
+
 PART_SIZE = 1000
 BUCKET_TURNS = 16384
 
@@ -43,7 +45,9 @@ def prepend_system(conversations: DataFrame, prompt: str | None) -> DataFrame:
     system = F.struct(
         *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in element.fields]
     )
-    first = F.col("part_no") == 0 if "part_no" in conversations.columns else F.lit(True)
+    first = F.lit(True)
+    if "part_no" in conversations.columns:  # one row per part: the smallest number is the first
+        first = F.col("part_no") == F.min("part_no").over(Window.partitionBy("conv_id"))
     with_system = F.when(first, F.concat(F.array(system), F.col("messages"))).otherwise(F.col("messages"))
     out = conversations.withColumn("messages", with_system)
     if "n_messages" in out.columns:
@@ -51,15 +55,41 @@ def prepend_system(conversations: DataFrame, prompt: str | None) -> DataFrame:
     return out
 
 
-def message_chunks(conversations: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """One delta per message, numbered from 0 in order; conversations without messages give none."""
-    return conversations.select(
-        "conv_id", "part_no", F.posexplode_outer("messages").alias("pos", "m")
-    ).where(F.col("pos").isNotNull()).select(
-        "conv_id",
-        (F.col("part_no") * part_size + F.col("pos")).cast("bigint").alias("chunk_no"),
-        F.col("m.role").alias("role"),
-        F.col("m.content").alias("delta"),
+def message_chunks(conversations: DataFrame) -> DataFrame:
+    """One delta per message, numbered from 0 in order; conversations without messages give none.
+
+    A part starts where the parts before it end; the window sees one number per part.
+    Tool calls go along where the messages have them.
+    """
+    earlier = Window.partitionBy("conv_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.size("messages")).over(earlier), F.lit(0))
+    fields = conversations.schema["messages"].dataType.elementType.fieldNames()
+    calls = [F.col("m.tool_calls").alias("tool_calls")] if "tool_calls" in fields else []
+    return (
+        conversations.select("conv_id", "messages", start.alias("start"))
+        .select("conv_id", "start", F.posexplode_outer("messages").alias("pos", "m"))
+        .where(F.col("pos").isNotNull())
+        .select(
+            "conv_id",
+            (F.col("start") + F.col("pos")).cast("bigint").alias("chunk_no"),
+            F.col("m.role").alias("role"),
+            F.col("m.content").alias("delta"),
+            *calls,
+        )
+    )
+
+
+def conversation_ids(conversations: DataFrame) -> DataFrame:
+    """(conv_id, dataset_record_id): one id per conversation, from its text.
+
+    A conversation of one part has the md5 of its text, a longer one the md5 of its
+    parts' md5s in order.
+    """
+    parts = conversations.select("conv_id", F.struct("part_no", record_id(F.col("messages")).alias("id")).alias("p"))
+    gathered = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    whole = F.md5(F.array_join(F.col("ps.id"), ""))
+    return gathered.select(
+        "conv_id", F.when(F.size("ps") == 1, F.col("ps.id")[0]).otherwise(whole).alias("dataset_record_id")
     )
 
 

@@ -161,8 +161,10 @@ def population_members(medical: DataFrame, pharmacy: DataFrame, segment: str, by
 def utilization_cost(medical_claim: DataFrame, procedure: DataFrame, pharmacy_claim: DataFrame) -> DataFrame:
     """Claims, fills, units, charge, allowed and paid by month and pay type, with subtotals.
 
-    Service lines are summed per claim before the join with the claim headers, and
-    both sides are down to one row per month and pay type before the rollup.
+    ``claims`` counts distinct claims by header: of repeated headers the earliest, then the
+    smallest pay type, stands for the claim.  Lines without a header count no claim; their
+    money goes to the month of the line and an unknown pay type.  Lines are summed per claim
+    and month before the join, both sides are one row per month and pay type before the rollup.
     """
     month = F.trunc("date_service", "MM").alias("month")
     zero = F.lit(0).cast("decimal(38,4)")
@@ -170,15 +172,27 @@ def utilization_cost(medical_claim: DataFrame, procedure: DataFrame, pharmacy_cl
     def sums(**cols: str) -> list:
         return [F.sum(exact(c)).cast("decimal(38,4)").alias(name) for name, c in cols.items()]
 
-    per_claim = procedure.groupBy("claim_id").agg(
+    lines = procedure.groupBy("claim_id", month).agg(
         *sums(units="procedure_units", charge="line_charge", allowed="line_allowed")
     )
+    first = F.min(F.struct("date_service", "pay_type")).alias("h")
+    headers = medical_claim.where(F.col("claim_id").isNotNull()).groupBy("claim_id").agg(first)
+    headers = headers.select(
+        "claim_id", F.trunc("h.date_service", "MM").alias("head_month"), F.col("h.pay_type").alias("pay_type"),
+        F.lit(True).alias("known"),
+    )
+    # a header without lines counts as a claim, too
+    both = headers.join(lines, "claim_id", "full")
+    unnamed = medical_claim.where(F.col("claim_id").isNull()).select(month, "pay_type", F.lit(1).cast("bigint").alias("claims"))
+    per_claim = both.groupBy("claim_id", F.when(F.col("known"), F.col("head_month")).otherwise(F.col("month")).alias("month"), "pay_type").agg(
+        F.max(F.when(F.col("known"), 1).otherwise(0)).cast("bigint").alias("claims"),
+        *[F.sum(c).cast("decimal(38,4)").alias(c) for c in ("units", "charge", "allowed")],
+    )
     medical = (
-        medical_claim.select("claim_id", month, "pay_type")
-        .join(per_claim, "claim_id", "left")
+        per_claim.unionByName(unnamed, allowMissingColumns=True)
         .groupBy("month", "pay_type")
         .agg(
-            F.count(F.lit(1)).alias("claims"),
+            F.sum("claims").alias("claims"),
             F.lit(0).cast("bigint").alias("fills"),
             *[F.sum(c).cast("decimal(38,4)").alias(c) for c in ("units", "charge", "allowed")],
             zero.alias("paid"),

@@ -26,6 +26,7 @@ REVIEWERS = ("reviewer_a", "reviewer_b")
 # A backlog is worked off in micro-batches of this many bytes.
 STREAM_BATCH = str(256 * 2**30)
 SYSTEM_PROMPT = "Answer questions on patient claims only; give full dates."
+# Names and rates of the three registered scorers.
 MONITOR = (
     config.MonitorScorer("safety_check", "safety", 0.5),
     config.MonitorScorer("is_english", "guideline_english", 0.7),
@@ -396,8 +397,7 @@ def generate_evals(t):
 
 @query
 def eval_record_id(t):
-    parts = messages.append_messages(standins.messages(t))
-    return parts.select("conv_id", "part_no", record_id(F.col("messages")).alias("dataset_record_id"))
+    return messages.conversation_ids(messages.append_messages(standins.messages(t)))
 
 
 def _trace_records(t: TestTables) -> DataFrame:
@@ -484,15 +484,29 @@ def label_summary(t):
 
 
 def _documents_as_answers(t: TestTables) -> DataFrame:
-    return t.spread("documents").select(
+    return t.documents.select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("trace_id"), F.col("text").alias("response")
     )
 
 
+def _recorded_answers(medical_claim: DataFrame) -> DataFrame:
+    """One recorded question and stand-in answer per medical claim, as scorer input."""
+    question = F.concat(F.lit("Which claims are there for patient "), F.col("patient_id"), F.lit("?"))
+    facts = F.array("claim_id", F.col("date_service").cast("string"), "location_of_care")
+    return medical_claim.select(
+        F.col("claim_id").alias("trace_id"),
+        F.array(F.struct(F.lit("user").alias("role"), question.alias("content"))).alias("messages"),
+        question.alias("request"),
+        standins.stand_in_answer().alias("response"),
+        F.array_compact(facts).alias("expected_facts"),
+        standins.stand_in_context(evalset.document_text()).alias("context"),
+    )
+
+
 def _score(name: str, with_documents: bool = False) -> Callable[[TestTables], DataFrame]:
     def run(t: TestTables) -> DataFrame:
-        claims = standins.medical_claim(t, t.spread("orders"))
-        out = scorers.evaluate(evaluation.recorded_answers(claims), [name])
+        claims = standins.medical_claim(t)
+        out = scorers.evaluate(_recorded_answers(claims), [name])
         if with_documents:
             out = out.unionByName(scorers.evaluate(_documents_as_answers(t), [name]))
         return out
@@ -528,10 +542,7 @@ def _routed(t: TestTables) -> DataFrame:
 @query
 def score_tool_calls(t):
     """The tool each question asks for by its number, against the tool it was routed to."""
-    expected = F.array(*map(F.lit, (
-        "get_pharmacy_claims", "get_patient_diagnoses", "get_medical_claims",
-        "get_patient_procedures", "get_patient_enrollment",
-    )))
+    expected = F.array(*map(F.lit, trace_sources.USAGE_TOOLS))
     keys = evaluation.traffic_keys(standins.claims(t))
     asked = trace_sources.traffic_source(keys, trace_sources.USAGE_QUESTIONS).select(
         F.concat_ws("-", "patient_id", F.col("question_no").cast("string")).alias("request_id"),
@@ -541,16 +552,23 @@ def score_tool_calls(t):
     # a second wording of the request leaves the tool unclear now and then
     vague = F.substring(F.md5("request_id"), 1, 1).isin("0", "1", "2")
     asked = asked.withColumn(
-        "question", F.when(vague, F.regexp_replace("question", "medications|procedures|enrollment|medical claims", "claims"))
+        "question", F.when(vague, F.regexp_replace("question", "pharmacy|procedures|enrollment|medical claims", "claims"))
         .otherwise(F.col("question"))
     )
-    routed = routing.question_route(asked).select("request_id", F.array_compact(F.array("tool")).alias("called_tools"))
-    records = asked.join(routed, "request_id").withColumnRenamed("request_id", "trace_id")
+    records = routing.question_route(asked).select(
+        F.col("request_id").alias("trace_id"), "expected_tools", F.array_compact(F.array("tool")).alias("called_tools")
+    )
     return scorers.evaluate(records, ["tool_precision", "tool_recall"])
 
 
 def _evaluation(t: TestTables) -> DataFrame:
-    return evaluation.evaluation_run(standins.medical_claim(t), new_folder(t.spark, "evals"))
+    evals = evaluation.write_evals(standins.medical_claim(t), new_folder(t.spark, "evals"))
+    responses = evals.select(
+        "dataset_record_id",
+        standins.stand_in_answer().alias("response"),
+        standins.stand_in_context(F.col("content")).alias("context"),
+    )
+    return evaluation.evaluation_run(evals, responses)
 
 
 @query
@@ -613,7 +631,8 @@ def append_messages(t):
 
 @query
 def message_chunks(t):
-    return messages.message_chunks(messages.append_messages(standins.messages(t)))
+    chunks = messages.message_chunks(messages.append_messages(standins.messages(t)))
+    return chunks.select("conv_id", "chunk_no", "role", "delta")
 
 
 @query
@@ -623,7 +642,7 @@ def tool_call_split(t):
 
 @query
 def tool_dispatch(t):
-    """Every routed question run; the routes outside the five lookups come out as errors."""
+    """Every routed question run, answered, empty or refused."""
     folder = new_folder(t.spark, "requests")
     _routed(t).where(F.col("action") == "call").write.parquet(folder)
     out = routing.tool_dispatch(t.spark.read.parquet(folder), standins.claims(t))

@@ -152,10 +152,10 @@ FILL_DAYS = """select patient_id, ndc, date_service as fill_date,
     from pharmacy_claim group by patient_id, ndc, date_service"""
 
 TRAFFIC_KEYS = f"""
-    select c.patient_id, c.claim_id, c.date_service as service_date, f.ndc, d.diagnosis_code
+    select coalesce(c.patient_id, f.patient_id, d.patient_id) as patient_id, c.claim_id, c.date_service as service_date, f.ndc, d.diagnosis_code
     from (select * from {ranked('medical_claim')} where rn = 1) c
-    left join ({LATEST_FILL}) f on f.patient_id = c.patient_id
-    left join (select * from {ranked('diagnosis')} where rn = 1) d on d.patient_id = c.patient_id"""
+    full join ({LATEST_FILL}) f on f.patient_id = c.patient_id
+    full join (select * from {ranked('diagnosis')} where rn = 1) d on d.patient_id = coalesce(c.patient_id, f.patient_id)"""
 
 
 def filled(templates: tuple[str, ...]) -> str:
@@ -404,11 +404,11 @@ KEYED = "medical_claim diagnosis pharmacy_claim"
 VAGUE = f"""
     select request_id, expected,
            case when substr(md5(request_id), 1, 1) in ('0', '1', '2')
-                then regexp_replace(question, 'medications|procedures|enrollment|medical claims', 'claims', 'g')
+                then regexp_replace(question, 'pharmacy|procedures|enrollment|medical claims', 'claims', 'g')
                 else question end as question
     from (select patient_id || '-' || question_no as request_id, question,
-                 [(['get_pharmacy_claims', 'get_patient_diagnoses', 'get_medical_claims',
-                    'get_patient_procedures', 'get_patient_enrollment'])[question_no]] as expected
+                 [(['get_medical_claims', 'get_patient_enrollment', 'get_pharmacy_claims',
+                    'get_patient_diagnoses', 'get_patient_procedures'])[question_no]] as expected
           from ({filled(USAGE_QUESTIONS)}))"""
 
 # The trace shapes, by event_id % 8.
@@ -626,12 +626,16 @@ def oracle_sql() -> dict[str, str]:
         "cast(sum(allowed) as double) as allowed, cast(sum(paid) as double) as paid from ("
         "select date_trunc('month', date_service)::date as month, pay_type, 1 as claims, 0 as fills, "
         "null::decimal(18,4) as units, null::decimal(18,4) as charge, null::decimal(18,4) as allowed, 0::decimal(18,4) as paid "
-        "from medical_claim union all "
-        f"select date_trunc('month', m.date_service)::date, m.pay_type, 0, 0, {money('procedure_units')}, {money('line_charge')}, "
-        f"{money('line_allowed')}, 0 from medical_claim m join procs p on p.claim_id = m.claim_id union all "
+        "from heads union all "
+        "select date_trunc('month', case when m.claim_id is null then p.date_service else m.date_service end)::date, m.pay_type, 0, 0, "
+        f"{money('procedure_units')}, {money('line_charge')}, {money('line_allowed')}, 0 "
+        "from procs p left join heads m on p.claim_id = m.claim_id union all "
         f"select date_trunc('month', date_service)::date, pay_type, 0, 1, {money('dispensed_quantity')}, "
         f"{money('submitted_gross_due')}, 0, {money('paid_gross_due')} from pharmacy_claim"
         ") group by rollup (month, pay_type)",
+        heads="""select claim_id, date_service, pay_type from (select *, row_number() over (
+            partition by coalesce(claim_id, cast(uuid() as varchar)) order by date_service nulls first, pay_type nulls first) as place
+            from medical_claim) where place = 1""",
     )
     total = lambda c: f"cast(sum({money(c)}) as double)"
     out["procedure_cost_summary"] = with_(
@@ -653,7 +657,10 @@ def oracle_sql() -> dict[str, str]:
         evals=EVALS,
     )
     out["eval_record_id"] = with_(
-        "messages", "select conv_id, part_no, md5(body) as dataset_record_id from parts", parts=PARTS
+        "messages",
+        "select conv_id, case when count(*) = 1 then any_value(md5(body)) else md5(string_agg(md5(body), '' order by part_no)) end "
+        "as dataset_record_id from parts group by conv_id",
+        parts=PARTS,
     )
     day = "strftime(ts, '%Y-%m-%d')"
     later = "strftime(ts + interval 3 days, '%Y-%m-%d')"
@@ -750,8 +757,7 @@ def oracle_sql() -> dict[str, str]:
     )
     out["message_chunks"] = with_(
         "messages",
-        "select conv_id, (turn // 1000) * 1000 + row_number() over (partition by conv_id, turn // 1000 order by turn) - 1 "
-        "as chunk_no, role, content as delta from messages",
+        "select conv_id, row_number() over (partition by conv_id order by turn) - 1 as chunk_no, role, content as delta from messages",
     )
     out["tool_call_split"] = with_(
         "messages",
@@ -770,14 +776,27 @@ def oracle_sql() -> dict[str, str]:
             ("get_patient_procedures", "procs", "date_service", "r.claim_id", 50),
         )
     )
+    others = " union all ".join(
+        f"select request_id, tool, 'ok', null, r.claim_id, r.{date} from calls c join {rows} r on {on} where tool = '{tool}'"
+        for tool, rows, date, on in (
+            ("get_medical_claims", "medical_claim", "date_service", "r.patient_id = c.patient_id and r.date_service = c.service_date"),
+            ("claims_by_ndc", "pharmacy_claim", "date_service", "r.ndc = c.ndc"),
+            ("claims_by_diagnosis", "diagnosis", "date_service", "r.diagnosis_code = c.diagnosis_code"),
+            ("claim_lookup", f"({CLAIM_EVENTS})", "event_date", "r.claim_id = c.claim_id"),
+            ("journey_on_date", f"({CLAIM_EVENTS})", "event_date", "r.patient_id = c.patient_id and r.event_date = c.service_date"),
+            ("journey_on_date", f"({ENROLLMENT_EVENTS})", "event_date", "r.patient_id = c.patient_id and "
+             "c.service_date between r.event_date and coalesce(r.event_end, c.service_date)"),
+            ("latest_medication_diagnosis", f"({LATEST_FILL})", "fill_date", "r.patient_id = c.patient_id"),
+            ("patient_claims", "(select patient_id, claim_id, min(event_date) as event_date from "
+             f"({CLAIM_EVENTS}) group by 1, 2)", "event_date", "r.patient_id = c.patient_id"),
+            ("patient_journey", f"({CLAIM_EVENTS} union all {ENROLLMENT_EVENTS})", "event_date", "r.patient_id = c.patient_id"),
+        )
+    )
     out["tool_dispatch"] = with_(
         "enrollment " + FOUR,
-        f"{answered} union all select request_id, tool, 'ok', null, m.claim_id, m.date_service from calls c join medical_claim m "
-        "on m.patient_id = c.patient_id and m.date_service = c.service_date where tool = 'get_medical_claims' "
-        "union all select request_id, tool, 'error', null, null, null from calls where tool not in ("
-        "'get_patient_enrollment', 'get_patient_diagnoses', 'get_pharmacy_claims', 'get_patient_procedures', "
-        "'get_medical_claims')",
-        keys=TRAFFIC_KEYS, asked=QUESTIONS, routed=routed("asked"), calls=calls,
+        "select * from answers union all "
+        "select request_id, tool, 'empty', null, null, null from calls where request_id not in (select request_id from answers)",
+        keys=TRAFFIC_KEYS, asked=QUESTIONS, routed=routed("asked"), calls=calls, answers=f"{answered} union all {others}",
     )
     out["full_date_format"] = with_(
         "medical_claim",
@@ -789,10 +808,10 @@ def oracle_sql() -> dict[str, str]:
         with q as (select label, embedding from embeddings e
                    where vec_id = (select min(vec_id) from embeddings x where x.label = e.label)),
              s as (select cast(q.label as bigint) as query_id, e.vec_id,
-                          round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 6) as similarity
+                          list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])) as similarity
                    from q, embeddings e)
         select * from (select query_id, row_number() over (partition by query_id order by similarity desc, vec_id) as rank,
-                              vec_id, similarity from s) where rank <= 5"""
+                              vec_id, round(similarity, 6) as similarity from s) where rank <= 5"""
 
     # monitoring
     out["scorer_config"] = f"""
@@ -804,7 +823,12 @@ def oracle_sql() -> dict[str, str]:
         select name, version, scorer, sample_rate, filter_string, place <= 20 as active from named"""
     out["scorer_config_errors"] = f"""
         with log as ({SCORER_LOG}), judged as ({JUDGED})
-        select name, action, seq, problem from judged where problem is not null"""
+        select name, action, seq, problem from judged where problem is not null
+        union all
+        select name, action, seq, 'too_many_scorers' from judged
+        where problem is null and action = 'register' and name in (
+          select name from (select name, row_number() over (order by min(f), name) as place from judged
+                            where problem is null group by name) where place > 20)"""
     out["scorer_sample"] = with_(
         "traces",
         " union all ".join(

@@ -25,15 +25,6 @@ class TestTables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """The table over at least as many tasks as there are cores, for work heavy on CPU per row.
-
-        Only a scan of fewer splits than cores is redistributed: a small table, or one
-        written in a few row groups.  At cluster scale this does nothing.
-        """
-        df, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
     def stream(self, name: str, **options: str) -> DataFrame:
         """The table as a file stream.  The one-letter glob lets a single file be a stream source."""
         schema = getattr(self, name).schema

@@ -61,8 +61,12 @@ def scorer_config(log: DataFrame) -> DataFrame:
 
 
 def scorer_config_errors(log: DataFrame) -> DataFrame:
-    """Refused log entries: (name, action, seq, problem)."""
-    return _judged(log).where(F.col("problem").isNotNull()).select("name", "action", "seq", "problem")
+    """Refused log entries, and registrations beyond MAX_SCORERS names: (name, action, seq, problem)."""
+    judged = _judged(log)
+    refused = judged.where(F.col("problem").isNotNull()).select("name", "action", "seq", "problem")
+    beyond = scorer_config(log).where(~F.col("active")).select("name")
+    too_many = judged.where(F.col("problem").isNull() & (F.col("action") == "register")).join(beyond, "name")
+    return refused.unionByName(too_many.select("name", "action", "seq", F.lit("too_many_scorers").alias("problem")))
 
 
 def active_scorers(config: DataFrame) -> list[MonitorScorer]:

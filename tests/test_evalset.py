@@ -104,3 +104,20 @@ def test_labels(spark):
     assert rows(labels.label_summary(valid)) == [(1, 1, 0, 1, 0, 2)]
     assigned = labels.label_assign(given.select("item_id").distinct(), ["u", "v"])
     assert assigned.count() == 4 * 2 * 2 == assigned.distinct().count()
+
+
+def test_double_claims_ask_once_and_zero_is_refused(spark, medical):
+    twice = medical.unionByName(medical)
+    ids = [r.dataset_record_id for r in evalset.generate_evals(twice, 100).collect()]
+    assert len(ids) == len(set(ids)) and set(ids) == {r.dataset_record_id for r in evalset.generate_evals(medical, 100).collect()}
+    for patient in (None, "a"):
+        with pytest.raises(ValueError):
+            evalset.claim_documents(medical, patient, limit=0)
+
+
+def test_a_label_never_turns_time_back(spark):
+    dataset = spark.createDataFrame([record("1", NOON, "q")], schemas.EVAL_TABLE)
+    early = NOON - datetime.timedelta(days=100)
+    label = spark.createDataFrame([("1", "u", ["f"], early)], "dataset_record_id string, user_name string, expected_facts array<string>, labelled_at timestamp")
+    (row,) = evalset.sync_labels(dataset, label).collect()
+    assert row.last_update_time == NOON and row.last_updated_by == "u"

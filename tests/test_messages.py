@@ -41,7 +41,7 @@ def test_parts_hold_every_message_once_in_order(spark):
     for size, parts in ((10, 6), (1000, 2)):
         built = messages.append_messages(frame, size)
         assert built.count() == parts
-        chunks = messages.message_chunks(built, size).orderBy("conv_id", "chunk_no").collect()
+        chunks = messages.message_chunks(built).orderBy("conv_id", "chunk_no").collect()
         assert [(r.conv_id, r.chunk_no, r.role, r.delta) for r in chunks] == [(c, t, r, x) for c, t, r, x, _ in data]
 
 
@@ -87,3 +87,19 @@ def test_last_user_message_with_content(spark):
     for name in ("empty last", "no user", "no list"):
         assert got[name] == (None, "no user message with words")
     assert got["no answer"][0] == 0.0
+
+
+def test_a_long_conversation_has_one_prompt_one_id_and_gapless_numbers(spark):
+    data = [(1, 3 * t + 5000, "user", f"m{t}", None) for t in range(2500)]
+    built = messages.append_messages(talk(spark, data))
+    prompted = messages.prepend_system(built, "Be brief.")
+    assert sum(m.role == "system" for r in prompted.collect() for m in r.messages) == 1
+    numbers = sorted(r.chunk_no for r in messages.message_chunks(prompted).collect())
+    assert numbers == list(range(2501))
+    assert messages.conversation_ids(built).count() == 1
+
+
+def test_tool_calls_go_along(spark):
+    call = [("get_patient_enrollment", {"patient_id": "a"})]
+    (chunk,) = messages.message_chunks(messages.append_messages(talk(spark, [(1, 0, "assistant", None, call)]))).collect()
+    assert chunk.tool_calls[0].name == "get_patient_enrollment"

@@ -86,3 +86,19 @@ def test_utilization_of_claims_without_lines(spark):
     total = got[(None, None, 3)]
     assert (total.claims, total.fills, total.charge, total.allowed, total.paid) == (2, 1, 8.5, 3.75, 1.0)
     assert got[(day("2021-05-01"), None, 0)].claims == 1 and got[(day("2021-05-01"), None, 1)].claims == 2
+
+
+def test_money_in_equals_money_out(spark):
+    from carepath import schemas
+
+    medical = spark.createDataFrame(
+        [("c1", "a", day("2021-01-05"), None, "er", "x"), ("c1", "a", day("2021-01-05"), None, "er", "x"),
+         ("c2", "a", day("2021-02-01"), None, "er", "y")], schemas.MEDICAL_CLAIM)
+    line = lambda claim, date, allowed: (claim, "a", "1", day(date), None, "p", "q", 1.0, "r", 2.0, allowed)
+    lines = spark.createDataFrame([line("c1", "2021-01-05", 5.0), line("gone", "2021-03-01", 50.0)], schemas.PROCEDURE)
+    fills = spark.createDataFrame([], schemas.PHARMACY_CLAIM)
+    got = {(r.month, r.pay_type, r.level): r for r in population.utilization_cost(medical, lines, fills).collect()}
+    total = next(r for r in got.values() if r.level == 3)
+    assert (total.allowed, total.claims) == (55.0, 2)
+    assert got[(day("2021-03-01"), None, 0)].allowed == 50.0 and got[(day("2021-03-01"), None, 0)].claims == 0
+    assert got[(day("2021-02-01"), "y", 0)].claims == 1

@@ -1,7 +1,7 @@
 import pytest
 from conftest import day, rows
 
-from carepath.operators import lookups, routing
+from carepath.operators import routing
 from carepath.sources import traces as trace_sources
 from test_timeline import claims_of, diag, fill
 
@@ -37,10 +37,7 @@ def test_routes(spark, question, action, tool):
     assert (row.action, row.tool) == (action, tool)
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_dispatch(spark, monkeypatch, few):
-    if not few:
-        monkeypatch.setattr(lookups, "MAX_BROADCAST_KEYS", 0)
+def test_dispatch(spark):
     c = claims_of(
         spark,
         enrollment=[("a", "F", "1980", "1", "NY", DATE, None, "m", "x")],
@@ -67,7 +64,8 @@ def test_dispatch(spark, monkeypatch, few):
         "5": '{"error":"missing service_date"}', "6": '{"error":"unknown tool"}',
         "7": '{"error":"unknown tool"}', "8": '{"error":"missing patient_id"}',
     }
-    assert len(by["1"]) == 1 and len(by["4"]) == 1 and by["4"][0].claim_id == "c1" and "9" not in by
+    assert len(by["1"]) == 1 and len(by["4"]) == 1 and by["4"][0].claim_id == "c1"
+    assert [(r.status, r.result) for r in by["9"]] == [("empty", None)]
     for k in ("2", "3"):
         assert sorted(r.row_no for r in by[k]) == list(range(1, 51))
     assert '"ndc":"1"' in by["10"][0].result
@@ -79,5 +77,15 @@ def test_traffic_is_numbered_from_one_and_skips_missing_keys(spark):
         "patient_id string, claim_id string, service_date date, ndc string, diagnosis_code string",
     )
     got = trace_sources.traffic_source(keys)
-    assert [r.question_no for r in got.where(got.patient_id == P).orderBy("question_no").collect()] == [1, 2, 3, 4, 5, 6]
-    assert [r.question_no for r in got.where(got.patient_id != P).orderBy("question_no").collect()] == [1, 2, 3, 5, 6]
+    assert [r.question_no for r in got.where(got.patient_id == P).orderBy("question_no").collect()] == list(range(1, 13))
+    assert [r.question_no for r in got.where(got.patient_id != P).orderBy("question_no").collect()] == list(range(2, 13))
+
+
+def test_every_route_asks_for_its_tool_and_passes_columns(spark):
+    keys = spark.createDataFrame(
+        [(P, C, DATE, "65162027250", "Z79899")],
+        "patient_id string, claim_id string, service_date date, ndc string, diagnosis_code string",
+    )
+    asked = trace_sources.traffic_source(keys).selectExpr("string(question_no) request_id", "question", "question_no as mine")
+    got = sorted((r.mine, r.tool) for r in routing.question_route(asked).collect())
+    assert [tool for _, tool in got] == [tool for tool, _, _ in trace_sources.ROUTES] and set(routing.ARGUMENTS) == {t for _, t in got}
