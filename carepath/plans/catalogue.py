@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,7 +73,7 @@ def _written_claims(t: TestTables, label: str, *names: str) -> str:
 @query
 def scan_identifier(t):
     root = _written_claims(t, "scan", "diagnosis")
-    schema = "carepath_scan"
+    schema = f"carepath_scan_{uuid.uuid4().hex[:12]}"
     claim_tables.ensure_schema(t.spark, schema, f"{root}/_schema")
     t.spark.sql(f"DROP TABLE IF EXISTS {schema}.diagnosis")
     t.spark.catalog.createTable(f"{schema}.diagnosis", path=f"{root}/diagnosis", source="parquet")
@@ -107,29 +108,36 @@ def _flat_records(df: DataFrame) -> DataFrame:
 
 @query
 def sink_append(t):
-    """Generated evals appended to a new table and read back."""
+    """Generated evals merged into a new table twice, as a rerun does, and read back."""
     root = new_folder(t.spark, "append")
-    schema = "carepath_append"
+    schema = f"carepath_append_{uuid.uuid4().hex[:12]}"
     claim_tables.ensure_schema(t.spark, schema, f"{root}/_schema")
     table = f"{schema}.eval_data"
     claim_tables.drop_dataset(t.spark, table)
     claim_tables.create_dataset(t.spark, table, f"{root}/eval_data", schemas.EVAL_TABLE)
-    claim_tables.append_records(_dataset_rows(t), table)
+    for _ in range(2):
+        claim_tables.merge_dataset(_dataset_rows(t), table, root)
     return _flat_records(claim_tables.load_dataset(t.spark, table))
 
 
 @query
 def sink_replace_nested(t):
-    path = new_folder(t.spark, "replace")
-    claim_tables.replace_records(_dataset_rows(t), path, schemas.EVAL_TABLE)
-    return _flat_records(t.spark.read.schema(schemas.EVAL_TABLE).parquet(path))
+    """A table's rows replaced by the generated evals, then by those it holds itself."""
+    root = new_folder(t.spark, "replace")
+    schema = f"carepath_replace_{uuid.uuid4().hex[:12]}"
+    claim_tables.ensure_schema(t.spark, schema, f"{root}/_schema")
+    table = f"{schema}.eval_data"
+    claim_tables.create_dataset(t.spark, table, f"{root}/eval_data", schemas.EVAL_TABLE)
+    claim_tables.replace_records(_dataset_rows(t), table, root, schemas.EVAL_TABLE)
+    claim_tables.replace_records(claim_tables.load_dataset(t.spark, table), table, root, schemas.EVAL_TABLE)
+    return _flat_records(claim_tables.load_dataset(t.spark, table))
 
 
 @query
 def dataset_lifecycle(t):
     """Drop, create, create again, load: one row per step, with the rows of a filled table."""
     root = new_folder(t.spark, "lifecycle")
-    schema = "carepath_lifecycle"
+    schema = f"carepath_lifecycle_{uuid.uuid4().hex[:12]}"
     claim_tables.ensure_schema(t.spark, schema, f"{root}/_schema")
     table = f"{schema}.full_dataset"
     claim_tables.drop_dataset(t.spark, table)

@@ -634,8 +634,8 @@ def oracle_sql() -> dict[str, str]:
         f"{money('submitted_gross_due')}, 0, {money('paid_gross_due')} from pharmacy_claim"
         ") group by rollup (month, pay_type)",
         heads="""select claim_id, date_service, pay_type from (select *, row_number() over (
-            partition by coalesce(claim_id, cast(uuid() as varchar)) order by date_service nulls first, pay_type nulls first) as place
-            from medical_claim) where place = 1""",
+            partition by claim_id order by date_service nulls first, pay_type nulls first) as place
+            from medical_claim) where place = 1 or claim_id is null""",
     )
     total = lambda c: f"cast(sum({money(c)}) as double)"
     out["procedure_cost_summary"] = with_(

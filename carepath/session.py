@@ -10,11 +10,22 @@ from pyspark.sql import SparkSession
 _LOCAL_BASE: dict[str, str] = {}
 
 
-def build_session(app: str = "carepath", master: str | None = None, conf: dict | None = None) -> SparkSession:
+# What a shuffle partition should hold before adaptive execution joins small ones.
+PARTITION_BYTES = 128 * 2**20
+
+
+def initial_partitions(input_bytes: int) -> int:
+    """Shuffle partitions to start with for an input of this size."""
+    return max(200, -(-input_bytes // PARTITION_BYTES))
+
+
+def build_session(
+    app: str = "carepath", master: str | None = None, conf: dict | None = None, input_bytes: int | None = None
+) -> SparkSession:
     """A session with the settings the operators are planned for.
 
-    Partition counts are left to adaptive execution: a high initial shuffle
-    partition count is coalesced at run time, and skewed join partitions are split.
+    Adaptive execution joins small shuffle partitions and splits skewed ones of joins.
+    ``input_bytes``, the size of the tables to be read, sets the number it starts from.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -26,6 +37,8 @@ def build_session(app: str = "carepath", master: str | None = None, conf: dict |
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
     }
+    if input_bytes is not None:
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(initial_partitions(input_bytes))
     settings.update(conf or {})
     for key, value in settings.items():
         builder = builder.config(key, value)

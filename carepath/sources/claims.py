@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carepath.schemas import CLAIM_TABLES
+from carepath.operators.evalset import upsert_records
+from carepath.schemas import CLAIM_TABLES, EVAL_TABLE
 
 
 @dataclass(frozen=True)
@@ -115,15 +117,27 @@ def load_dataset(spark: SparkSession, table: str) -> DataFrame:
 
 
 def append_records(df: DataFrame, table: str) -> None:
-    """Append to a table.  Reruns duplicate rows: see ``upsert_records`` for the keyed form."""
+    """Append to a table.  Reruns duplicate rows: see ``merge_dataset`` for the keyed form."""
     df.write.mode("append").saveAsTable(table)
 
 
-def replace_records(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """Replace the rows at ``path``, in the declared (possibly nested) schema."""
-    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode(
-        "overwrite"
-    ).parquet(path)
+def replace_records(df: DataFrame, table: str, folder: str, schema: T.StructType) -> None:
+    """Replace a table's rows, in the declared (possibly nested) schema: write a new version, then switch to it.
+
+    The old version stays readable until the switch, so ``df`` may read the table itself,
+    and a failed write leaves the table as it was.
+    """
+    path = f"{folder}/version-{uuid.uuid4().hex}"
+    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.parquet(path)
+    quoted = path.replace("'", "\\'")
+    df.sparkSession.sql(f"ALTER TABLE {_ident(table)} SET LOCATION '{quoted}'")
+    df.sparkSession.catalog.refreshTable(table)
+
+
+def merge_dataset(updates: DataFrame, table: str, folder: str) -> None:
+    """Upsert evaluation records into a table, as a new version; a rerun changes nothing."""
+    merged = upsert_records(load_dataset(updates.sparkSession, table), updates)
+    replace_records(merged, table, folder, EVAL_TABLE)
 
 
 def dataset_preview(df: DataFrame, order: Sequence[str]) -> DataFrame:

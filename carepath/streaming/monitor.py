@@ -129,14 +129,23 @@ def start_append(df: DataFrame, out: str, checkpoint: str, trigger: dict | None
     )
 
 
+# Versions of a trend that stay readable after newer ones were published.
+KEPT_VERSIONS = 8
+
+
 def start_complete(df: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep a streaming aggregate's whole result: batch n replaces ``out``/version=n.
+    """Keep a streaming aggregate's whole result: batch n is written to slot n mod KEPT_VERSIONS of ``out``.
 
-    For trends, whose result is small; rewriting a version on a retry gives the same rows.
+    A version counts once it is whole: its number goes to ``out``/published after the write,
+    so readers never see part of a trend.  Old slots are overwritten.  For trends, whose
+    result is small; writing a version again on a retry gives the same rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        slot = batch_id % KEPT_VERSIONS
+        batch.write.mode("overwrite").parquet(f"{out}/slots/{slot}")
+        done = batch.sparkSession.createDataFrame([(batch_id, slot)], "version bigint, slot bigint")
+        done.write.mode("append").parquet(f"{out}/published")
 
     return (
         df.writeStream.outputMode("complete")
@@ -148,7 +157,6 @@ def start_complete(df: DataFrame, out: str, checkpoint: str, trigger: dict | Non
 
 
 def read_latest(spark: SparkSession, out: str) -> DataFrame:
-    """The newest version written by ``start_complete``."""
-    versions = spark.read.parquet(out)
-    newest = versions.agg(F.max("version").alias("version"))
-    return versions.join(newest, "version", "left_semi").drop("version")
+    """The newest version that ``start_complete`` has published."""
+    newest = spark.read.parquet(f"{out}/published").agg(F.max(F.struct("version", "slot")).alias("v")).first()["v"]
+    return spark.read.parquet(f"{out}/slots/{newest.slot}")
