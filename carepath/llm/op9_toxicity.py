@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 
 from carepath.llm.common import texts
 
-MAX_ROWS = 16_000
+MAX_ROWS = 8_000
 MAX_TERMS = 50_000
 PREDICT_AT = 0.7
 WORKER_WORDS = 200_000
 AFFIXES = (4, 5, 6, 7)
+LEAST_TEXTS = 5
 LEAST_ODDS = 1.5
 LEAST_Z = 3.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -93,41 +94,73 @@ def kind_of(term: str) -> str:
     return f"begins{len(term) - 1}" if term[-1] == "*" else f"ends{len(term) - 1}"
 
 
-def _mined(documents: list[set], labels) -> dict[str, set]:
-    """Terms at least eight times as frequent in texts labelled toxic, by kind."""
-    toxic, clean = Counter(), Counter()
-    n = [0, 0]
-    for found, y in zip(documents, labels, strict=True):
-        (toxic if y else clean).update(found)
-        n[int(y)] += 1
-    out: dict[str, set] = {}
-    for term, k in toxic.items():
-        if k >= 4 and (k + 0.5) / (n[1] + 1) >= 8 * (clean[term] + 0.5) / (n[0] + 1):
-            out.setdefault(kind_of(term), set()).add(term)
-    return out
+class Corpus:
+    """The training texts as arrays of term numbers; terms in too few texts to learn from are left out."""
+
+    def __init__(self, raw: list[str]):
+        import numpy as np
+
+        self.lower = [t.lower() for t in raw]
+        numbers: dict[str, int] = {}
+        words = [
+            np.fromiter({numbers.setdefault(w, len(numbers)) for w in WORD.findall(t)}, np.int32) for t in self.lower
+        ]
+        seen = np.bincount(np.concatenate(words), minlength=len(numbers)) if numbers else np.zeros(0, np.int64)
+        most: Counter = Counter()
+        for word, n in zip(numbers, seen.tolist(), strict=True):
+            for t in terms_of(word):
+                most[t] += n
+        self.place = {t: k for k, t in enumerate(t for t, n in most.items() if n >= LEAST_TEXTS)}
+        del most
+        own = [
+            np.array([self.place[t] for t in terms_of(word) if t in self.place], np.int32) for word in numbers
+        ]
+        none = np.zeros(0, np.int32)
+        self.texts = [np.unique(np.concatenate([none, *(own[w] for w in found.tolist())])) for found in words]
+        self.kinds = np.array([kind_of(t) for t in self.place])
+
+    def counts(self, chosen):
+        """In how many of the chosen texts each term occurs."""
+        import numpy as np
 
+        found = [t for t, c in zip(self.texts, chosen, strict=True) if c]
+        return np.bincount(np.concatenate(found), minlength=len(self.place)) if found else np.zeros(len(self.place), np.int64)
 
-def vote_table(raw: list[str], documents: list[set], labels):
+    def any_of(self, terms, chosen=None):
+        """Per text whether it has one of the marked terms (0 for texts not chosen)."""
+        import numpy as np
+
+        chosen = np.ones(len(self.texts), bool) if chosen is None else chosen
+        return np.array([int(c and terms[t].any()) for t, c in zip(self.texts, chosen, strict=True)], np.int8)
+
+
+def vote_table(corpus: Corpus, labels):
     """Names of the voters and a 0/1 matrix: one row per text."""
     import numpy as np
 
-    names, columns = ["given"], [np.asarray(labels, np.int8)]
+    y = np.asarray(labels, bool)
+    names, columns = ["given"], [y.astype(np.int8)]
     for lang, found in INSULTS.items():
-        listed = {f"={w}" for w in found}
+        marked = np.zeros(len(corpus.place), bool)
+        marked[[corpus.place[f"={w}"] for w in found if f"={w}" in corpus.place]] = True
         names.append(f"insults {lang}")
-        columns.append(np.array([not listed.isdisjoint(d) for d in documents], np.int8))
+        columns.append(corpus.any_of(marked))
     for name, pattern in PATTERNS.items():
         names.append(name)
-        columns.append(np.array([pattern.search(t.lower()) is not None for t in raw], np.int8))
-    # lists are mined on the other half, so a voter doesn't vote on the texts it was made from
-    half = np.arange(len(raw)) % 2
-    lists = [_mined([d for d, h in zip(documents, half, strict=True) if h != k],
-                    [y for y, h in zip(labels, half, strict=True) if h != k]) for k in (0, 1)]
-    for kind in sorted({*lists[0], *lists[1]}):
+        columns.append(np.array([pattern.search(t) is not None for t in corpus.lower], np.int8))
+    # lists of terms eight times as frequent in texts labelled toxic, mined on the other half of the
+    # texts, so that a voter doesn't vote on the texts it was made from
+    half = np.arange(len(labels)) % 2
+    lists = []
+    for k in (0, 1):
+        other = half != k
+        toxic, clean = corpus.counts(other & y), corpus.counts(other & ~y)
+        rate = (toxic + 0.5) / ((other & y).sum() + 1) / ((clean + 0.5) / ((other & ~y).sum() + 1))
+        lists.append((toxic >= 4) & (rate >= 8))
+    for kind in sorted(set(corpus.kinds[lists[0] | lists[1]].tolist())):
+        of_kind = corpus.kinds == kind
         names.append(kind)
-        columns.append(
-            np.array([not lists[h].get(kind, set()).isdisjoint(d) for d, h in zip(documents, half, strict=True)], np.int8)
-        )
+        columns.append(corpus.any_of(lists[0] & of_kind, half == 0) | corpus.any_of(lists[1] & of_kind, half == 1))
     return names, np.stack(columns, axis=1)
 
 
@@ -217,35 +250,27 @@ def fit(raw: list[str], labels: list[int], max_terms: int = MAX_TERMS, rounds: i
     insults = {f"={w}": 3.0 for found in INSULTS.values() for w in found}
     if not any(labels) or all(labels):
         return Scorer(-3.0, insults)
-    documents = [{t for w in set(WORD.findall(x.lower())) for t in terms_of(w)} for x in raw]
-    _, votes = vote_table(raw, documents, labels)
+    corpus = Corpus(raw)
+    _, votes = vote_table(corpus, labels)
     target = LabelModel(votes).posteriors
-    seen, hits = Counter(), Counter()
-    for found, p in zip(documents, target, strict=True):
-        seen.update(found)
-        if p >= 0.5:
-            hits.update(found)
     share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
-    toxic = int((target >= 0.5).sum())
+    likely = target >= 0.5
     # terms whose log-odds differ between the two labels by several standard errors
-    strength = {}
-    for t, n in seen.items():
-        h, c = hits[t] + 0.5, n - hits[t] + 0.5
-        odds = math.log(h / (toxic + 1 - h)) - math.log(c / (len(documents) - toxic + 1 - c))
-        z = odds / math.sqrt(1 / h + 1 / c)
-        if odds >= LEAST_ODDS and z >= LEAST_Z:
-            strength[t] = z
-    chosen = sorted(strength, key=lambda t: (-strength[t], t))[:max_terms]
-    place = {t: k for k, t in enumerate(chosen)}
-    rows, columns = [], []
-    for k, found in enumerate(documents):
-        mine = [place[t] for t in found if t in place]
-        rows += [k] * len(mine)
-        columns += mine
-    rows, columns = np.array(rows, np.int64), np.array(columns, np.int64)
+    h, c = corpus.counts(likely) + 0.5, corpus.counts(~likely) + 0.5
+    odds = np.log(h / (likely.sum() + 1.5 - h)) - np.log(c / ((~likely).sum() + 1.5 - c))
+    z = odds / np.sqrt(1 / h + 1 / c)
+    strong = np.flatnonzero((odds >= LEAST_ODDS) & (z >= LEAST_Z) & (h + c >= LEAST_TEXTS))
+    names = list(corpus.place)
+    strong = np.array(sorted(strong.tolist(), key=lambda k: (-z[k], names[k]))[:max_terms], np.int64)
+    chosen = [names[k] for k in strong.tolist()]
+    column = np.full(len(names), -1, np.int64)
+    column[strong] = np.arange(len(strong))
+    mine = [column[t][column[t] >= 0] for t in corpus.texts]
+    rows = np.repeat(np.arange(len(mine)), [len(m) for m in mine])
+    columns = np.concatenate([np.zeros(0, np.int64), *mine])
     w, b = np.zeros(len(chosen)), math.log(share / (1 - share))
     square, square_b = np.full(len(chosen), 1e-6), 1e-6
-    n = len(documents)
+    n = len(raw)
     for _ in range(rounds):
         odds = b + np.bincount(rows, w[columns], n)
         error = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - target
