@@ -23,13 +23,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carepath.llm.common import let, lines, running_sums, stored, texts, words
+from carepath.llm.common import NOT_WHITE, WHITE, let, lines, running_sums, stored, texts, words
 
 MIN_WORDS = 8
 # The two largest primes below 2^31; sums and products of residues fit in a long.
 PRIMES = (2147483647, 2147483629)
 
 
+def is_judged(line: Column) -> Column:
+    """Whether a line has MIN_WORDS words, by a pattern that never goes back."""
+    return line.rlike(f"(?:{NOT_WHITE}++{WHITE}++){{{MIN_WORDS - 1}}}{NOT_WHITE}")
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, w: the lines with enough words."""
     rows = texts(docs, "doc_id").select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "line"))
@@ -53,14 +58,12 @@ def _half_keys(hashes: Column) -> Column:
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """h1, h2 (a line's hash), first (struct of doc_id and line_no of its earliest occurrence) and its half keys."""
-    hashed = _numbered(docs).select(
-        "doc_id", "line_no", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.transform("w", lambda x: F.crc32(x)).alias("c")
-    )
+    hashed = _numbered(docs).select("doc_id", "line_no", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     keyed = hashed.select(
         "doc_id",
         "line_no",
         F.xxhash64("h").alias("h1"),
-        F.xxhash64(F.lit("second"), F.col("c"), F.col("h")).alias("h2"),
+        F.xxhash64(F.lit("second"), F.col("h")).alias("h2"),
         _half_keys(F.col("h")).alias("halves"),
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "line_no")).alias("first")
@@ -144,12 +147,10 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"), "doc_id", F.col("x.line_no").alias("line_no"),
         words(F.get("all", F.col("x.line_no"))).alias("w"),
     ).where(F.xxhash64(F.transform("w", lambda x: F.xxhash64(x))) == F.col("h1"))  # of rows that share a doc_id, the one meant
-    spelled = stored(spelled.dropDuplicates(["h1", "h2"]), "line-words")
-
-    keyed = spelled.select(
-        "h1", "h2", F.struct("doc_id", "line_no").alias("at"), F.size("w").alias("n"),
-        _variants(F.transform("w", lambda x: F.xxhash64(x))).alias("v"),
-    )
+    # stored with the variants, which are read twice
+    spelled = spelled.dropDuplicates(["h1", "h2"]).withColumn("v", _variants(F.transform("w", lambda x: F.xxhash64(x))))
+    spelled = stored(spelled, "line-words")
+    keyed = spelled.select("h1", "h2", F.struct("doc_id", "line_no").alias("at"), F.size("w").alias("n"), "v")
     roles = F.concat(
         F.array(F.struct(F.lit("whole").alias("role"), F.xxhash64(F.lit("gap"), F.col("n")).alias("k1"), F.col("v.whole").alias("k2"))),
         F.transform("v.without", lambda v: F.struct(F.lit("gap").alias("role"), F.xxhash64(F.lit("gap"), F.col("n") - 1).alias("k1"), v.alias("k2"))),
@@ -170,7 +171,7 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("h1", "h2")
         .agg(F.min("other").alias("other"))
     )
-    mine = earliest.join(spelled, ["h1", "h2"])
+    mine = earliest.join(spelled.select("h1", "h2", "w"), ["h1", "h2"])
     theirs = spelled.select(F.struct("doc_id", "line_no").alias("other"), F.col("w").alias("w2"))
     verified = mine.join(theirs, "other").where(one_edit_apart(F.col("w"), F.col("w2")))
     gone = stored(verified.select("h1", "h2", "other"), "lines-gone")
@@ -185,7 +186,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     counted = texts(docs, "doc_id").select(
         "doc_id",
         F.size(lines(F.col("text"))).alias("n"),
-        F.size(F.filter(lines(F.col("text")), lambda x: F.size(words(x)) >= MIN_WORDS)).alias("judged"),
+        F.size(F.filter(lines(F.col("text")), is_judged)).alias("judged"),
     )
     totals = counted.groupBy("doc_id").agg(F.sum("n").alias("n_lines"), F.sum("judged").alias("n_judged"))
     stays = stays.select(F.col("doc_id").alias("kept_id"), "n_kept")
@@ -200,14 +201,13 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     """
     kept, _ = duplicate_lines(docs)
     stays = kept.groupBy(F.col("first.doc_id").alias("kept_id")).agg(F.collect_set("first.line_no").alias("kept_lines"))
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.col("text").alias("body"))
-    joined = packed.join(stays, F.col("row_id") == F.col("kept_id"), "left")
+    packed = docs.select(F.struct("*").alias("row"))
+    joined = packed.join(stays, F.col("row.doc_id") == F.col("kept_id"), "left")
 
     def stay(line: Column, i: Column) -> Column:
-        short = F.size(words(line)) < MIN_WORDS
-        return short | F.coalesce(F.array_contains("kept_lines", i), F.lit(False)) | F.col("row_id").isNull()
+        return ~is_judged(line) | F.coalesce(F.array_contains("kept_lines", i), F.lit(False)) | F.col("row.doc_id").isNull()
 
-    left = F.array_join(F.filter(lines(F.col("body")), stay), "\n")
+    left = F.array_join(F.filter(lines(F.col("row.text")), stay), "\n")
     cleaned = joined.select("row", left.alias("cleaned"))
     out = {c: F.col("row")[c] for c in docs.columns}
     out["text"] = F.col("cleaned")
