@@ -1,12 +1,14 @@
 """Near-duplicate documents by min-max hashing of five-word shingles.
 
 Each permutation is evaluated once per shingle and gives two values of the signature, the least and the greatest
-hash: both agree between two sets with the probability of their similarity, so 80 permutations make 160 values and
-40 bands of four. Two sets of similarity 0.75 share no band with probability (1 - 0.75^4)^40, about 3e-7.
+hash: both agree between two sets with the probability of their similarity, so 192 permutations make 384 values and
+64 bands of six. Two sets of similarity 0.75 share no band with probability (1 - 0.75^6)^64, about 4e-6. One bit of
+every value makes a sketch of 384 bits, of which such sets differ in 48 on average (standard deviation 6.5); pairs
+that differ by over seven deviations more are not compared further.
 
 Documents with equal sets are one class from the start. Classes that share a band are compared on their full sets:
 first each with the smallest class of its bucket; then, between the components found so far, every pair of a
-bucket that is still in two components and whose set sizes allow the similarity. Inside a component no further
+bucket that is still in two components and whose sizes and bits allow the similarity. Inside a component no further
 pair can change the result, so a large group of copies costs edges in proportion to its size, not its square.
 
 Nothing of all documents meets in a task or the driver: signatures, buckets and edges are rows that Spark shuffles by
@@ -21,15 +23,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carepath.llm.common import SHINGLE_WORDS, stored, texts
 from carepath.llm.graph import components
 
 PERCENT = 75
-PERMUTATIONS = 80
-BAND_ROWS = 4
+PERMUTATIONS = 192
+BAND_ROWS = 6
+DEVIATIONS = 7.4
 SEED = 20_240_501
 WORKER_WORDS = 500_000
 BLOCK = 4096
@@ -82,34 +85,39 @@ class MinMax:
 
         rng = np.random.default_rng(SEED + 1)
         draw = lambda n: rng.integers(0, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.a, self.b, self.band = draw(permutations), draw(permutations), draw(2 * permutations)
+        self.a, self.b = (draw(permutations).astype(np.uint32) for _ in range(2))
+        self.band = draw(2 * permutations)
         self.rows = rows
         # the two values of a permutation go to different bands
         self.order = rng.permutation(2 * permutations)
 
     def signature(self, shingles):
+        """Least and greatest value of 32 bits under each permutation."""
         import numpy as np
 
-        low = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
-        high = np.zeros(len(self.a), np.uint64)
-        for at in range(0, len(shingles), BLOCK):
-            values = shingles[at : at + BLOCK, None] * self.a[None, :] + self.b[None, :]
-            values ^= values >> np.uint64(29)
-            low = np.minimum(low, values.min(axis=0))
-            high = np.maximum(high, values.max(axis=0))
+        short = (shingles >> np.uint64(32)).astype(np.uint32)
+        low = np.full(len(self.a), np.iinfo(np.uint32).max, np.uint32)
+        high = np.zeros(len(self.a), np.uint32)
+        for at in range(0, len(short), BLOCK):
+            values = short[at : at + BLOCK, None] * self.a[None, :]
+            values += self.b[None, :]
+            np.minimum(low, values.min(axis=0), out=low)
+            np.maximum(high, values.max(axis=0), out=high)
         return np.concatenate([low, high])
 
     def bands(self, shingles):
+        """Band keys, and one bit of every value in words of 64."""
         import numpy as np
 
-        values = (self.signature(shingles) * self.band)[self.order]
+        values = (self.signature(shingles).astype(np.uint64) * self.band)[self.order]
         keys = values.reshape(-1, self.rows).sum(axis=1, dtype=np.uint64)
         keys += np.arange(len(keys), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (keys ^ (keys >> np.uint64(31))).view(np.int64)
+        bits = np.packbits((values >> np.uint64(47)).astype(np.uint8) & 1).view(np.int64)
+        return (keys ^ (keys >> np.uint64(31))).view(np.int64), bits
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets, null for empty ones) and the band keys."""
+    """doc_id, n_shingles, set_key (equal for equal sets, null for empty ones), the band keys and the bits."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -120,24 +128,27 @@ def sketches(docs: DataFrame) -> DataFrame:
         shingles, family = Shingler(), MinMax()
         empty = np.empty(0, np.int64)
         for batch in batches:
-            sizes, keys, bands = [], [], []
+            sizes, keys, bands, bits = [], [], [], []
             for text in batch.column("text"):
                 found = shingles(text.as_py())
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest() if len(found) else None)
-                bands.append(family.bands(found) if len(found) else empty)
+                both = family.bands(found) if len(found) else (empty, empty)
+                bands.append(both[0])
+                bits.append(both[1])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.string()),
                     pa.array(bands, pa.list_(pa.int64())),
+                    pa.array(bits, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                names=["doc_id", "n_shingles", "set_key", "bands", "bits"],
             )
 
     return texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key string, bands array<long>"
+        run, "doc_id long, n_shingles long, set_key string, bands array<long>, bits array<long>"
     )
 
 
@@ -172,36 +183,53 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return common.where(F.col("c") * 100 >= (F.col("n") + F.col("m") - F.col("c")) * percent).select("a", "b")
 
 
+def _may_be_similar(percent: int) -> Column:
+    """Sets of n and m shingles and bits x and y: the sizes allow the similarity and the bits don't speak against it."""
+    share = (1 - percent / 100) / 2
+    bits = 2 * PERMUTATIONS
+    most = int(bits * share + DEVIATIONS * (bits * share * (1 - share)) ** 0.5)
+    differing = F.lit(0)
+    for k in range(bits // 64):
+        differing = differing + F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k))))
+    return (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (differing <= most)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row per row."""
     sketched = stored(sketches(docs), "sketches")
     usable = sketched.where("set_key is not null and doc_id is not null")
     classes = stored(
         usable.groupBy("set_key").agg(
-            F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("node"),
+            F.max("n_shingles").alias("n"),
+            F.first("bands").alias("bands"),
+            F.first("bits").alias("bits"),
         ),
         "classes",
     )
-    members = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    members = classes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last"))
-    shared = stored(shared.where("head < last").select("bucket", "head"), "buckets")
-    inside = members.join(shared, "bucket")
-    stars = inside.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_confirmed(docs, stars, percent), "links")
+    inside = stored(members.join(shared.where("head < last").select("bucket", "head"), "bucket"), "buckets")
+    pairs = inside.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    facts = classes.select("node", "n", "bits")
+    known = pairs.join(facts.toDF("a", "n", "x"), "a").join(facts.toDF("b", "m", "y"), "b")
+    links = stored(_confirmed(docs, known.where(_may_be_similar(percent)).select("a", "b"), percent), "links")
     found = components(links)
 
     # what two components of a bucket may still have in common
     placed = stored(
-        inside.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")),
+        inside.select("bucket", "node").join(found, "node", "left").select(
+            "bucket", "node", F.coalesce("component", "node").alias("component")
+        ),
         "placed",
     )
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    split = placed.join(split.where("lo < hi").select("bucket"), "bucket", "left_semi")
-    x, y = split.toDF("bucket", "a", "n", "p"), split.toDF("bucket", "b", "m", "q")
-    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("p") != F.col("q"))
-    rest = x.join(y, "bucket").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    tried = stars.select("a", "b")
-    more = stored(_confirmed(docs, rest.join(tried, ["a", "b"], "left_anti"), percent), "links")
+    split = placed.join(split.where("lo < hi").select("bucket"), "bucket", "left_semi").join(facts, "node")
+    split = stored(split.select("bucket", "node", "n", "bits", "component"), "split")
+    x, y = split.toDF("bucket", "a", "n", "x", "p"), split.toDF("bucket", "b", "m", "y", "q")
+    apart = (F.col("a") < F.col("b")) & (F.col("p") != F.col("q"))
+    rest = x.join(y, (x["bucket"] == y["bucket"]) & apart & _may_be_similar(percent)).select("a", "b").distinct()
+    more = stored(_confirmed(docs, rest, percent), "links")
     found = components(links.unionByName(more))
 
     # joined on the size as well, so that a hot class is dealt by both and can be split
