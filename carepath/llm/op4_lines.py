@@ -1,8 +1,10 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines are sequences of words; two lines are duplicates if they are equal or one edited word (inserted, deleted or
-changed) apart. Lines of fewer than ``MIN_WORDS`` words say too little to judge and always stay. A line goes if an
-earlier one, by (doc_id, line number), is its duplicate; everything else stays where it is.
+changed) apart. A line goes if an earlier one, by (doc_id, line number), is its duplicate; everything else stays
+where it is. Lines of fewer than ``MIN_WORDS`` words have no neighbours, only equals, and those are looked for down to
+``least`` words. By default that is ``MIN_WORDS`` as well, so shorter lines always stay; with 1 every repeat of a line
+with any word goes.
 
 1. Equal lines meet on a 128-bit hash; the earliest stands for them.
 2. A line one edit from another shares its first or its last half with it. Lines that share no half with a
@@ -30,19 +32,22 @@ MIN_WORDS = 8
 PRIMES = (2147483647, 2147483629)
 
 
-def is_judged(line: Column) -> Column:
-    """Whether a line has MIN_WORDS words, by a pattern that never goes back."""
-    return line.rlike(f"(?:{NOT_WHITE}++{WHITE}++){{{MIN_WORDS - 1}}}{NOT_WHITE}")
+def is_judged(line: Column, least: int = MIN_WORDS) -> Column:
+    """Whether a line has ``least`` words, by a pattern that never goes back."""
+    return line.rlike(f"(?:{NOT_WHITE}++{WHITE}++){{{least - 1}}}{NOT_WHITE}")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, line_no, w: the lines with enough words."""
     rows = texts(docs, "doc_id").select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", words(F.col("line")).alias("w")).where(F.size("w") >= MIN_WORDS)
+    return rows.select("doc_id", "line_no", words(F.col("line")).alias("w")).where(F.size("w") >= least)
 
 
 def _half_keys(hashes: Column) -> Column:
-    """Of a line of n words, its head and tail as a line of n words, and as a neighbour of one of n - 1 has them."""
+    """Of a line of n words, its head and tail as a line of n words, and as a neighbour of one of n - 1 has them.
+
+    Lines of fewer than MIN_WORDS words have none.
+    """
     n = F.size(hashes)
 
     def halves(length: Column) -> list[Column]:
@@ -53,12 +58,12 @@ def _half_keys(hashes: Column) -> Column:
             F.xxhash64(F.lit("tail"), length, F.slice(hashes, n - tail + 1, tail)),
         ]
 
-    return F.array(*halves(n), *halves(n - 1))
+    return F.when(n >= MIN_WORDS, F.array(*halves(n), *halves(n - 1))).otherwise(F.array().cast("array<bigint>"))
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
+def distinct_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """h1, h2 (a line's hash), first (struct of doc_id and line_no of its earliest occurrence) and its half keys."""
-    hashed = _numbered(docs).select("doc_id", "line_no", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    hashed = _numbered(docs, least).select("doc_id", "line_no", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     keyed = hashed.select(
         "doc_id",
         "line_no",
@@ -128,9 +133,9 @@ def one_edit_apart(a: Column, b: Column) -> Column:
     )
 
 
-def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """The distinct lines (h1, h2, first) that stay, and those one edit after an earlier one (with its place)."""
-    unique = stored(distinct_lines(docs), "lines")
+    unique = stored(distinct_lines(docs, least), "lines")
     halves = unique.select("h1", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
     near = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
@@ -179,14 +184,14 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, gone
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_judged (lines with enough words) and n_removed, one row per doc_id."""
-    kept, _ = duplicate_lines(docs)
+    kept, _ = duplicate_lines(docs, least)
     stays = kept.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_kept"))
     counted = texts(docs, "doc_id").select(
         "doc_id",
         F.size(lines(F.col("text"))).alias("n"),
-        F.size(F.filter(lines(F.col("text")), is_judged)).alias("judged"),
+        F.size(F.filter(lines(F.col("text")), lambda line: is_judged(line, least))).alias("judged"),
     )
     totals = counted.groupBy("doc_id").agg(F.sum("n").alias("n_lines"), F.sum("judged").alias("n_judged"))
     stays = stays.select(F.col("doc_id").alias("kept_id"), "n_kept")
@@ -194,18 +199,18 @@ def line_report(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_lines", "n_judged", (F.col("n_judged") - F.coalesce("n_kept", F.lit(0))).alias("n_removed"))
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """``docs`` with all its columns, the texts without duplicate lines; ``n_chars`` follows where there is one.
 
     A text none of whose lines goes stays as it is, null included. A row left without any line has the empty text.
     """
-    kept, _ = duplicate_lines(docs)
+    kept, _ = duplicate_lines(docs, least)
     stays = kept.groupBy(F.col("first.doc_id").alias("kept_id")).agg(F.collect_set("first.line_no").alias("kept_lines"))
     packed = docs.select(F.struct("*").alias("row"))
     joined = packed.join(stays, F.col("row.doc_id") == F.col("kept_id"), "left")
 
     def stay(line: Column, i: Column) -> Column:
-        return ~is_judged(line) | F.coalesce(F.array_contains("kept_lines", i), F.lit(False)) | F.col("row.doc_id").isNull()
+        return ~is_judged(line, least) | F.coalesce(F.array_contains("kept_lines", i), F.lit(False)) | F.col("row.doc_id").isNull()
 
     left = F.array_join(F.filter(lines(F.col("row.text")), stay), "\n")
     cleaned = joined.select("row", left.alias("cleaned"))

@@ -202,6 +202,20 @@ def test_a_template_costs_no_pairs(spark):
     assert [r["doc_id"] for r in kept] == [1]
 
 
+def test_short_lines_lose_their_repeats(spark):
+    planted = ["All rights reserved.", "保留所有权利。", "Released under the MIT License.", "one two three four five six seven"]
+    rows = frame(
+        spark,
+        "\n".join([*planted, "", "All rights reserved", "one two three four five six seven eight nine"]),
+        "\n".join(["only here", *planted, "", "  All   rights reserved. ", "one two three four five six seven eight ten"]),
+    )
+    got = {r["doc_id"]: r["text"].split("\n") for r in op4_lines.drop_lines(rows, least=1).collect()}
+    assert got[1][:6] == [*planted, "", "All rights reserved"] and len(got[1]) == 7
+    assert got[2] == ["only here", ""]
+    report = {r["doc_id"]: (r["n_lines"], r["n_judged"], r["n_removed"]) for r in op4_lines.line_report(rows, least=1).collect()}
+    assert report == {1: (7, 6, 0), 2: (8, 7, 6)}
+
+
 def test_running_sums(spark):
     values = [random.randrange(10**6) for _ in range(1000)]
     rows = spark.createDataFrame([(values,), ([],)], "v array<long>")
