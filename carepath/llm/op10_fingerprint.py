@@ -1,9 +1,9 @@
-"""Document fingerprints as threshold-scaled sketches.
+"""Document fingerprints as sets of shingle hashes.
 
-Every word shingle's 48-bit hash below a fixed fraction of the range is kept. The threshold is the same for all
-documents, so sketches of parts merge by union, and the share of the smaller sketch found in the larger estimates
-containment however unequal two documents are. A text whose shingles all lie above the threshold keeps its
-smallest hash, so that only texts without words have an empty sketch.
+Every word shingle's 48-bit hash is kept. No threshold leaves short texts without a hash that longer ones hold as
+well, so sketches of parts merge by union, and the share of the smaller sketch found in the larger is containment
+however unequal two documents are. A text of fewer words than a shingle has one hash, which only equal words share;
+only texts without words have an empty sketch.
 
 The next document of each, by ascending doc_id, is found without sorting the table in one place: approximate
 percentiles of doc_id cut it into ranges, each range is ordered by itself, and the last row of a range gets the
@@ -22,13 +22,12 @@ from pyspark.sql import functions as F
 from carepath.llm.common import SHINGLE_WORDS, let, texts, words
 
 BITS = 48
-SCALE = 8
 RANGE_ROWS = 1000
 MAX_RANGES = 10_000
 
 
-def sketch(text: Column, scale: int = SCALE, width: int = SHINGLE_WORDS) -> Column:
-    """Ascending distinct kept hashes of a text's shingles (array of long)."""
+def sketch(text: Column, width: int = SHINGLE_WORDS) -> Column:
+    """Ascending distinct hashes of a text's shingles (array of long)."""
     range_mask = F.lit((1 << BITS) - 1)
 
     def shingles(hashes: Column) -> Column:
@@ -41,16 +40,7 @@ def sketch(text: Column, scale: int = SCALE, width: int = SHINGLE_WORDS) -> Colu
         ).otherwise(F.array().cast("array<bigint>"))
         return F.when(F.size(hashes) >= width, many).otherwise(few)
 
-    def kept(all_hashes: Column) -> Column:
-        below = F.filter(all_hashes, lambda h: h < (1 << BITS) // scale)
-        return let(
-            below,
-            lambda b: F.when(F.size(b) > 0, F.sort_array(F.array_distinct(b)))
-            .when(F.size(all_hashes) > 0, F.array(F.array_min(all_hashes)))
-            .otherwise(b),
-        )
-
-    return let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: let(shingles(h), kept))
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: F.sort_array(F.array_distinct(shingles(h))))
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -59,7 +49,7 @@ def merged(a: Column, b: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of the smaller sketch that the larger one has: estimated containment."""
+    """The share of the smaller sketch that the larger one has: containment."""
     smaller = F.least(F.size(a), F.size(b))
     return (
         F.when(F.greatest(F.size(a), F.size(b)) == 0, 1.0)
@@ -89,7 +79,7 @@ def _range_of(bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, kept (its sketch), next_text, next_kept."""
+    """doc_id, text, next_text. Sketches are larger than the texts and made after the shuffle."""
     rows = texts(docs, "doc_id")
     count = docs.agg(F.count("doc_id").alias("n")).first()["n"]
     parts = min(MAX_RANGES, -(-count // RANGE_ROWS))
@@ -112,24 +102,13 @@ def with_next(docs: DataFrame) -> DataFrame:
         rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("first_id")))
         .groupBy("before")
         .agg(F.min("text").alias("opening"))
-        .select(F.col("before").alias("place"), "opening", sketch(F.col("opening")).alias("opening_kept"))
+        .select(F.col("before").alias("place"), "opening")
     )
     order = Window.partitionBy("place").orderBy(F.asc_nulls_first("doc_id"), "text")
-    sketched = placed.select("*", sketch(F.col("text")).alias("kept"))
-    led = sketched.select(
-        "*",
-        F.lead("text").over(order).alias("next_text"),
-        F.lead("kept").over(order).alias("next_kept"),
-    )
+    led = placed.select("*", F.lead("text").over(order).alias("next_text"))
     end = F.col("next_text").isNull()
     joined = led.alias("l").join(opening.alias("o"), (F.col("l.place") == F.col("o.place")) & end, "left")
-    return joined.select(
-        "doc_id",
-        "text",
-        "kept",
-        F.coalesce("next_text", "opening").alias("next_text"),
-        F.coalesce("next_kept", "opening_kept").alias("next_kept"),
-    )
+    return joined.select("doc_id", "text", F.coalesce("next_text", "opening").alias("next_text"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -138,8 +117,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)
     )
-    both = with_next(docs).select("doc_id", "text", "kept", "next_kept", edited.alias("edited"))
-    both = both.select("*", sketch(F.col("edited")).alias("edited_kept"))
+    both = with_next(docs).select("doc_id", "text", "next_text", edited.alias("edited"))
+    both = both.select(
+        "doc_id",
+        "text",
+        "edited",
+        sketch(F.col("text")).alias("kept"),
+        sketch(F.col("next_text")).alias("next_kept"),
+        sketch(F.col("edited")).alias("edited_kept"),
+    )
     return both.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

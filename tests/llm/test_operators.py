@@ -400,6 +400,18 @@ def test_edited_texts_and_likeness(docs, bodies):
     assert sum(got[i]["near_edited"] > got[i]["near_next"] for i in long) > 0.95 * len(long)
 
 
+def test_short_texts_are_found_whole_in_long_ones(spark):
+    long = [f"w{k}" for k in range(400)]
+    rows = [(" ".join(long[k : k + n]), " ".join(long), " ".join(long[: k + 4]), " ".join(long[k:])) for n in (5, 9, 14) for k in range(1, 60)]
+    got = spark.createDataFrame(rows, "short string, long string, head string, tail string").select(
+        op10_fingerprint.likeness(op10_fingerprint.sketch(F.col("short")), op10_fingerprint.sketch(F.col("long"))).alias("share"),
+        op10_fingerprint.merged(op10_fingerprint.sketch(F.col("head")), op10_fingerprint.sketch(F.col("tail"))).alias("parts"),
+        op10_fingerprint.sketch(F.col("long")).alias("whole"),
+    ).collect()
+    assert {r["share"] for r in got} == {1.0}
+    assert all(r["parts"] == r["whole"] for r in got)
+
+
 def test_ranges_join_up(spark, monkeypatch):
     monkeypatch.setattr(op10_fingerprint, "RANGE_ROWS", 7)
     rows = frame(spark, *(f"text {k}" for k in range(100)))
