@@ -185,18 +185,16 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame,
 
 
 def line_report(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_lines, n_judged (lines with enough words) and n_removed, one row per doc_id."""
-    kept, _ = duplicate_lines(docs, least)
-    stays = kept.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_kept"))
-    counted = texts(docs, "doc_id").select(
-        "doc_id",
-        F.size(lines(F.col("text"))).alias("n"),
-        F.size(F.filter(lines(F.col("text")), lambda line: is_judged(line, least))).alias("judged"),
-    )
-    totals = counted.groupBy("doc_id").agg(F.sum("n").alias("n_lines"), F.sum("judged").alias("n_judged"))
-    stays = stays.select(F.col("doc_id").alias("kept_id"), "n_kept")
-    joined = totals.join(stays, totals["doc_id"].eqNullSafe(stays["kept_id"]), "left")
-    return joined.select("doc_id", "n_lines", "n_judged", (F.col("n_judged") - F.coalesce("n_kept", F.lit(0))).alias("n_removed"))
+    """doc_id, n_lines, n_judged (lines with enough words) and n_removed (those that drop_lines drops), one row per doc_id."""
+
+    def judged(text: Column) -> Column:
+        return F.size(F.filter(lines(text), lambda line: is_judged(line, least)))
+
+    text = F.col("text")
+    counted = texts(docs, "doc_id").select("doc_id", "text", F.size(lines(text)).alias("n"), judged(text).alias("judged"))
+    cleaned = drop_lines(counted, least).select("doc_id", "n", "judged", judged(text).alias("left"))
+    totals = cleaned.groupBy("doc_id").agg(F.sum("n").alias("n_lines"), F.sum("judged").alias("n_judged"), F.sum("left").alias("n_left"))
+    return totals.select("doc_id", "n_lines", "n_judged", (F.col("n_judged") - F.col("n_left")).alias("n_removed"))
 
 
 def drop_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:

@@ -216,6 +216,17 @@ def test_short_lines_lose_their_repeats(spark):
     assert report == {1: (7, 6, 0), 2: (8, 7, 6)}
 
 
+def test_removed_lines_are_those_dropped(spark):
+    line = "one two three four five six seven eight nine"
+    other = "some quite different words that stand in this line"
+    rows = [(1, line), (1, line), (2, line + "\n" + other), (None, other), (None, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    report = {r["doc_id"]: (r["n_judged"], r["n_removed"]) for r in op4_lines.line_report(docs).collect()}
+    left = Counter(r["doc_id"] for r in op4_lines.drop_lines(docs).collect() for x in r["text"].split("\n") if x)
+    assert left == {1: 2, 2: 1, None: 2}
+    assert report == {1: (2, 0), 2: (2, 1), None: (2, 0)}
+
+
 def test_running_sums(spark):
     values = [random.randrange(10**6) for _ in range(1000)]
     rows = spark.createDataFrame([(values,), ([],)], "v array<long>")
