@@ -433,6 +433,14 @@ def test_ranges_join_up(spark, monkeypatch):
 # --- the queries and the pipeline ---------------------------------------------------
 
 
+def test_the_pipeline_mixes_with_the_production_budget(spark, sf_dir, docs):
+    import corpus_pipeline
+
+    chosen = op8_mixing.select(op8_mixing.with_domain(docs), op8_mixing.PRODUCTION)
+    got = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in chosen.collect()}
+
+
 def test_every_operator_is_registered():
     assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
 
