@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from carepath.llm import op4_lines, op8_mixing
+from carepath.llm import op4_lines, op8_mixing, op11_urls, op12_clusters
 from carepath.llm import op5_quality as quality_rules
 
 
@@ -156,4 +156,91 @@ totals AS (
   FROM worded GROUP BY doc_id)
 SELECT doc_id, n_lines, n_judged, n_judged - coalesce(n, 0) AS n_removed FROM totals LEFT JOIN stays USING (doc_id)"""
 
-ORACLES = {"op4_line_dedup": OP4, "op8_mixture": mixture(op8_mixing.PRODUCTION), "op3_warc_archives": OP3, "op5_quality_rules": OP5}
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in op11_urls.RULES)
+OP11 = f"""
+WITH after AS (
+  SELECT row_number() OVER () AS rid, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+cut AS (
+  SELECT rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{op11_urls.UPPER}', '{op11_urls.LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path
+  FROM after),
+fits AS (
+  SELECT rid, r.host || r.path AS rule, verdict
+  FROM cut c JOIN (VALUES {_RULES}) AS r(host, path, verdict)
+    ON (c.host = r.host OR suffix(c.host, '.' || r.host)) AND starts_with(c.path, r.path)),
+best AS (SELECT rid, rule, verdict FROM fits QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM cut LEFT JOIN best USING (rid)"""
+
+
+def _clusters_sql(k: int = op12_clusters.CENTROIDS, rounds: int = op12_clusters.ROUNDS) -> str:
+    """Every vector against every centroid, and the rounds one after another."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+  SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT rid, c, list_sum(list_transform(list_zip(v, p), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d
+        FROM kept CROSS JOIN cent{r}) GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""mean{r} AS (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS p
+  FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n
+        FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{r} JOIN kept USING (rid)) GROUP BY c, i)
+  GROUP BY c),
+cent{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.p, o.p) AS p FROM cent{r} o LEFT JOIN mean{r} m USING (c))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {op12_clusters.DIMS} AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+cent0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS p
+  FROM (SELECT sha256('{op12_clusters.SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM kept ORDER BY h, v LIMIT {k})),
+{", ".join(steps)},
+sums AS (SELECT c, sum(d)::BIGINT AS per FROM near{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, per AS cluster_inertia, (SELECT sum(per)::BIGINT FROM sums) AS inertia,
+       sha256(array_to_string(p, ',')) AS centroid_sha256
+FROM near{rounds} JOIN kept USING (rid) JOIN sums USING (c) JOIN cent{rounds} USING (c)"""
+
+
+# A node is the string of its turns; an unsigned CRC-32 bit by bit over the digits of the id.
+OP13 = """
+WITH turns AS (
+  SELECT conv_id, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
+         length(coalesce(text, '')) AS chars, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) - 1 AS k FROM turns),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+      lambda ch: [ord(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda crc, x: xor(xor(crc, x) >> 1, 3988292384 * (xor(crc, x) & 1))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM placed)),
+joined AS (
+  SELECT c.conv_id, 0 AS part, k, t, chars FROM convs c JOIN placed p ON p.conv_id = c.base AND k < h
+  UNION ALL SELECT c.conv_id, 1, k, t, chars FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND k >= h),
+rebuilt AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS pos FROM joined),
+keyed AS (
+  SELECT conv_id, pos AS depth, chars,
+         string_agg(t, ' ') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS key,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '', (SELECT count(*) FROM rebuilt r WHERE r.conv_id = c.conv_id) FROM convs c),
+named AS (
+  SELECT key, depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM keyed GROUP BY key, depth),
+upward AS (
+  SELECT c.key, p.key AS above, p.conv_id AS parent_conv_id
+  FROM named c JOIN named p ON p.depth = c.depth - 1 AND p.key = substr(c.key, 1, greatest(65 * p.depth - 1, 0))),
+children AS (SELECT above AS key, count(*) AS n_children FROM upward GROUP BY above),
+tree AS (SELECT *, coalesce(n_children, 0) AS kids FROM named LEFT JOIN children USING (key)),
+under AS (
+  SELECT substr(key, 1, greatest(65 * up - 1, 0)) AS key, kids, (n_convs - 1) * chars AS saved
+  FROM (SELECT *, unnest(generate_series(0, depth)) AS up FROM tree)),
+sums AS (SELECT key, count(*) FILTER (kids = 0) AS n_leaves, sum(saved) AS saved_tokens FROM under GROUP BY key)
+SELECT conv_id, depth, parent_conv_id, n_convs, kids AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM tree LEFT JOIN upward USING (key) JOIN sums USING (key)"""
+
+ORACLES = {"op4_line_dedup": OP4, "op8_mixture": mixture(op8_mixing.PRODUCTION), "op3_warc_archives": OP3, "op5_quality_rules": OP5,
+           "op11_url_filter": OP11, "op12_centroid_clusters": _clusters_sql(), "op13_prefix_trie": OP13}

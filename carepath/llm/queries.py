@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from carepath.llm import (
     op1_pii, op2_bpe, op3_warc, op4_lines, op5_quality, op6_html, op7_minhash, op8_mixing, op9_toxicity,
-    op10_fingerprint,
+    op10_fingerprint, op11_urls, op12_clusters, op13_trie,
 )
 from carepath.llm.common import table
 from carepath.llm.oracles import ORACLES
@@ -86,5 +86,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_lines.line_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_urls.judge(table(spark, sf_dir, "pages"), op11_urls.rule_table(spark))
+
+
+@query
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_clusters.clusters(table(spark, sf_dir, "embeddings")).drop("n_computed")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
