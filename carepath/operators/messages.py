@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from carepath.functions.prefix import running_totals
 from carepath.functions.text import record_id
 
 PART_SIZE = 1000
@@ -19,25 +20,48 @@ BUCKET_TURNS = 16384
 def append_messages(messages: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     """Messages gathered in turn order: (conv_id, part_no, n_messages, messages).
 
-    A conversation of up to ``part_size`` turns is one row, a longer one several
-    consecutive parts.
+    Parts are cut by the number of messages before them, so each but a conversation's last has ``part_size``,
+    whatever the turns are: null turns come first, messages of the same turn go in order of their digest.  Messages
+    equal in everything are counted before they are numbered; numbering reads (turn, digest, count) only, in
+    slices (``running_totals``), and no list holds more than one part.
     """
-    part = F.floor(F.col("turn") / part_size)
     fields = [c for c in ("role", "content", "tool_calls") if c in messages.columns]
-    entry = F.struct("turn", F.struct(*fields).alias("m"))
+    keyed = messages.select(
+        "conv_id", "turn", F.md5(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})).alias("tie"), F.struct(*fields).alias("m")
+    )
+    key = ["conv_id", "turn", "tie"]
+    counts = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    numbered = running_totals(counts, ["conv_id"], ["turn", "tie"], {"first": F.col("n")}).select(
+        F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("tie").alias("_tie"), "first", "n"
+    )
+    # one of each kind of equal messages, in the partitions that the join needs anyway
+    kinds = keyed.groupBy(*key).agg(F.first("m").alias("m"))
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")) & (F.col("tie") == F.col("_tie"))
+    until = F.col("first") + F.col("n")
+    part = lambda place: F.floor(place / part_size)
+    from_here = F.greatest(F.col("first"), F.col("part_no") * part_size)
+    here = (F.least(until, (F.col("part_no") + 1) * part_size) - from_here).cast("int")
+    dealt = (
+        kinds.join(numbered, same)
+        .select("conv_id", "m", "first", "n", F.explode(F.sequence(part(F.col("first")), part(until - 1))).alias("part_no"))
+        .select("conv_id", "part_no", F.struct(from_here.alias("place"), F.array_repeat("m", here).alias("ms")).alias("t"))
+    )
 
-    def by_turn(a, b):
-        return F.when(a["turn"] < b["turn"], -1).when(a["turn"] > b["turn"], 1).otherwise(0)
+    def by_place(a, b):
+        return F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)
 
     return (
-        messages.groupBy("conv_id", part.alias("part_no"))
-        .agg(F.array_sort(F.collect_list(entry), by_turn).alias("t"))
-        .select("conv_id", "part_no", F.size("t").alias("n_messages"), F.col("t.m").alias("messages"))
+        dealt.groupBy("conv_id", "part_no")
+        .agg(F.flatten(F.array_sort(F.collect_list("t"), by_place)["ms"]).alias("messages"))
+        .select("conv_id", "part_no", F.size("messages").alias("n_messages"), "messages")
     )
 
 
 def prepend_system(conversations: DataFrame, prompt: str | None) -> DataFrame:
-    """The system message before the first part of each conversation; unchanged without a prompt."""
+    """The system message before the first part of each conversation; unchanged without a prompt.
+
+    The first part's number is found from the numbers alone and joined back on conversation and part.
+    """
     if not prompt:
         return conversations
     element = conversations.schema["messages"].dataType.elementType
@@ -45,11 +69,13 @@ def prepend_system(conversations: DataFrame, prompt: str | None) -> DataFrame:
     system = F.struct(
         *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in element.fields]
     )
-    first = F.lit(True)
+    first, out = F.lit(True), conversations
     if "part_no" in conversations.columns:  # one row per part: the smallest number is the first
-        first = F.col("part_no") == F.min("part_no").over(Window.partitionBy("conv_id"))
+        firsts = conversations.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("part_no").alias("_part"))
+        out = out.join(firsts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part_no") == F.col("_part")), "left")
+        first = F.col("_part").isNotNull()
     with_system = F.when(first, F.concat(F.array(system), F.col("messages"))).otherwise(F.col("messages"))
-    out = conversations.withColumn("messages", with_system)
+    out = out.withColumn("messages", with_system).select(*conversations.columns)
     if "n_messages" in out.columns:
         out = out.withColumn("n_messages", F.size("messages"))
     return out
@@ -58,17 +84,20 @@ def prepend_system(conversations: DataFrame, prompt: str | None) -> DataFrame:
 def message_chunks(conversations: DataFrame) -> DataFrame:
     """One delta per message, numbered from 0 in order; conversations without messages give none.
 
-    A part starts where the parts before it end; the window sees one number per part.
-    Tool calls go along where the messages have them.
+    A part starts where the parts before it end: the parts' sizes are added up in slices (``running_totals``) and
+    the starts joined back on conversation and part.  Tool calls go along where the messages have them.
     """
-    earlier = Window.partitionBy("conv_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.size("messages")).over(earlier), F.lit(0))
+    full = conversations.where(F.size("messages") > 0)
+    sizes = full.select("conv_id", "part_no", F.size("messages").alias("size"))
+    starts = running_totals(sizes, ["conv_id"], ["part_no"], {"start": F.col("size")}).select(
+        F.col("conv_id").alias("_conv"), F.col("part_no").alias("_part"), "start"
+    )
     fields = conversations.schema["messages"].dataType.elementType.fieldNames()
     calls = [F.col("m.tool_calls").alias("tool_calls")] if "tool_calls" in fields else []
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part_no") == F.col("_part"))
     return (
-        conversations.select("conv_id", "messages", start.alias("start"))
-        .select("conv_id", "start", F.posexplode_outer("messages").alias("pos", "m"))
-        .where(F.col("pos").isNotNull())
+        full.join(starts, same)
+        .select("conv_id", "start", F.posexplode("messages").alias("pos", "m"))
         .select(
             "conv_id",
             (F.col("start") + F.col("pos")).cast("bigint").alias("chunk_no"),

@@ -96,8 +96,10 @@ FLOATS = {
 }
 
 
-def with_(names: str, body: str, **more: str) -> str:
-    ctes = [f"{n} as ({BASE[n]})" for n in names.split()] + [f"{n} as ({q})" for n, q in more.items()]
+def with_(names: str, body: str, once: bool = False, **more: str) -> str:
+    """``body`` after its named parts; with ``once`` each part is computed once however often it is read."""
+    kept = "materialized " if once else ""
+    ctes = [f"{n} as {kept}({BASE[n]})" for n in names.split()] + [f"{n} as {kept}({q})" for n, q in more.items()]
     return "with " + ",\n".join(ctes) + "\n" + body
 
 
@@ -795,8 +797,9 @@ def oracle_sql() -> dict[str, str]:
     out["tool_dispatch"] = with_(
         "enrollment " + FOUR,
         "select * from answers union all "
-        "select request_id, tool, 'empty', null, null, null from calls where request_id not in (select request_id from answers)",
-        keys=TRAFFIC_KEYS, asked=QUESTIONS, routed=routed("asked"), calls=calls, answers=f"{answered} union all {others}",
+        "select request_id, tool, 'empty', null, null, null from calls c "
+        "where not exists (select 1 from answers a where a.request_id = c.request_id)",
+        once=True, keys=TRAFFIC_KEYS, asked=QUESTIONS, routed=routed("asked"), calls=calls, answers=f"{answered} union all {others}",
     )
     out["full_date_format"] = with_(
         "medical_claim",

@@ -103,3 +103,32 @@ def test_tool_calls_go_along(spark):
     call = [("get_patient_enrollment", {"patient_id": "a"})]
     (chunk,) = messages.message_chunks(messages.append_messages(talk(spark, [(1, 0, "assistant", None, call)]))).collect()
     assert chunk.tool_calls[0].name == "get_patient_enrollment"
+
+
+def test_null_and_repeated_turns_are_cut_into_parts(spark):
+    data = [(1, None, "user", f"m{k % 700}", None) for k in range(2500)] + [(1, 4, "user", "same", None)] * 2300 + [(None, 0, "user", "x", None)]
+    built = messages.append_messages(talk(spark, data).repartition(5)).collect()
+    sizes = {(r.conv_id, r.part_no): r.n_messages for r in built}
+    assert sizes == {(1, 0): 1000, (1, 1): 1000, (1, 2): 1000, (1, 3): 1000, (1, 4): 800, (None, 0): 1}
+    texts = [m.content for r in sorted((r for r in built if r.conv_id), key=lambda r: r.part_no) for m in r.messages]
+    assert sorted(texts[:2500]) == sorted(x[3] for x in data[:2500]) and set(texts[2500:]) == {"same"}
+
+
+def test_no_window_and_no_unbounded_list_sees_a_text(spark):
+    built = messages.append_messages(talk(spark, random_talk(2, 30)), 10)
+    for df in (built, messages.prepend_system(built, "Be brief."), messages.message_chunks(built)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if " Window [" in line]
+        assert all("messages" not in line and "content" not in line for line in windows)
+        below = plan.split("Window [")[1:]
+        assert all("content" not in part.split("Join")[0] for part in below)
+
+
+def test_a_conversation_with_a_third_of_all_messages(spark):
+    data = [(1, t, "user", f"a{t}", None) for t in range(4000)] + [(c, t, "user", f"b{t}", None) for c in range(2, 802) for t in range(10)]
+    built = messages.append_messages(talk(spark, data).repartition(6))
+    prompted = messages.prepend_system(built, "Be brief.")
+    chunks = messages.message_chunks(prompted).collect()
+    assert len(chunks) == len(data) + 801
+    hot = sorted((r.chunk_no, r.delta) for r in chunks if r.conv_id == 1)
+    assert hot == [(0, "Be brief."), *((t + 1, f"a{t}") for t in range(4000))]
