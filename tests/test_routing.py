@@ -89,3 +89,27 @@ def test_every_route_asks_for_its_tool_and_passes_columns(spark):
     asked = trace_sources.traffic_source(keys).selectExpr("string(question_no) request_id", "question", "question_no as mine")
     got = sorted((r.mine, r.tool) for r in routing.question_route(asked).collect())
     assert [tool for _, tool in got] == [tool for tool, _, _ in trace_sources.ROUTES] and set(routing.ARGUMENTS) == {t for _, t in got}
+
+
+def test_dispatch_reads_each_claim_table_once_before_the_tools_run(spark, tmp_path):
+    from carepath.sources.claims import read_claims, write_claims
+
+    made = claims_of(
+        spark,
+        enrollment=[("a", "F", "1980", "1", "NY", DATE, None, "m", "x")],
+        medical_claim=[("c1", "a", DATE, None, "er", "x"), ("c2", "b", DATE, None, "er", "x")],
+        diagnosis=[diag("c1", "a", "2021-01-01", "Z1"), diag("c2", "b", "2021-01-01", "Z1")],
+        pharmacy_claim=[fill("c1", "a", "2021-01-01")],
+    )
+    write_claims(made, str(tmp_path / "claims"))
+    asked = [(f"{k}-{tool}", tool, "a", DATE, "c1", "1", "Z1") for k in range(2) for tool in routing.ARGUMENTS]
+    requests = spark.createDataFrame(
+        asked, "request_id string, tool string, patient_id string, service_date date, claim_id string, ndc string, diagnosis_code string"
+    )
+    stored = read_claims(spark, str(tmp_path / "claims"))
+    answers = routing.tool_dispatch(requests, stored)
+    assert not any(str(tmp_path) in f for f in answers.inputFiles())
+    assert {r.request_id for r in answers.collect()} == {r[0] for r in asked}
+    found = routing.wanted_rows(requests.selectExpr("request_id call_id", *requests.columns[1:]), stored)
+    assert sorted((r.claim_id, r._tools) for r in found.diagnosis.collect())[1] == ("c2", ["claims_by_diagnosis"])
+    assert len(set(found.diagnosis.where("claim_id = 'c1'").first()._tools)) == 6
