@@ -2,9 +2,8 @@
 
 Lines are sequences of words; two lines are duplicates if they are equal or one edited word (inserted, deleted or
 changed) apart. A line goes if an earlier one, by (doc_id, line number), is its duplicate; everything else stays
-where it is. Lines of fewer than ``MIN_WORDS`` words have no neighbours, only equals, and those are looked for down to
-``least`` words. By default that is ``MIN_WORDS`` as well, so shorter lines always stay; with 1 every repeat of a line
-with any word goes.
+where it is. Every line with at least ``least`` words is judged, by default every one with a word, written with spaces
+or without. Lines of fewer than ``MIN_WORDS`` words have equals only: in so short a line one edited word is another line.
 
 1. Equal lines meet on a 128-bit hash; the earliest stands for them.
 2. A line one edit from another shares its first or its last half with it. Lines that share no half with a
@@ -28,13 +27,17 @@ from pyspark.sql import functions as F
 from carepath.llm.common import NOT_WHITE, WHITE, let, lines, running_sums, stored, texts, words
 
 MIN_WORDS = 8
+LEAST = 1
+# A place is doc_id times LINES plus the line's number; a null doc_id counts as NO_DOC, one beyond the longs.
+LINES = 2**31
+NO_DOC = str(2**63)
 # The two largest primes below 2^31; sums and products of residues fit in a long.
 PRIMES = (2147483647, 2147483629)
 
 
-def is_judged(line: Column, least: int = MIN_WORDS) -> Column:
+def is_judged(line: Column, least: int = LEAST) -> Column:
     """Whether a line has ``least`` words, by a pattern that never goes back."""
-    return line.rlike(f"(?:{NOT_WHITE}++{WHITE}++){{{least - 1}}}{NOT_WHITE}")
+    return line.rlike(f"(?:{NOT_WHITE}++{WHITE}++){{{least - 1}}}{NOT_WHITE}" if least > 1 else NOT_WHITE)
 
 
 def _numbered(docs: DataFrame, least: int) -> DataFrame:
@@ -61,7 +64,21 @@ def _half_keys(hashes: Column) -> Column:
     return F.when(n >= MIN_WORDS, F.array(*halves(n), *halves(n - 1))).otherwise(F.array().cast("array<bigint>"))
 
 
-def distinct_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def _place() -> Column:
+    """doc_id and line_no as one decimal of the same order; a null doc_id comes after every other."""
+    doc = F.coalesce(F.col("doc_id").cast("long").cast("decimal(20,0)"), F.lit(NO_DOC).cast("decimal(20,0)"))
+    return doc * F.lit(LINES).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
+
+
+def _first() -> Column:
+    """The struct (unknown, doc_id, line_no) back from ``place``."""
+    line_no = F.pmod(F.col("place"), F.lit(LINES).cast("decimal(10,0)"))
+    unknown = F.col("place") >= F.lit(NO_DOC).cast("decimal(20,0)") * F.lit(LINES).cast("decimal(10,0)")
+    doc_id = F.when(~unknown, F.call_function("div", F.col("place") - line_no, F.lit(LINES).cast("decimal(10,0)")))
+    return F.struct(unknown.alias("unknown"), doc_id.alias("doc_id"), line_no.cast("int").alias("line_no"))
+
+
+def distinct_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """h1, h2 (a line's hash), first (struct of doc_id and line_no of its earliest occurrence) and its half keys."""
     hashed = _numbered(docs, least).select("doc_id", "line_no", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     keyed = hashed.select(
@@ -70,9 +87,11 @@ def distinct_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         F.xxhash64("h").alias("h1"),
         F.xxhash64(F.lit("second"), F.col("h")).alias("h2"),
         _half_keys(F.col("h")).alias("halves"),
-    )
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "line_no")).alias("first")
-    return keyed.groupBy("h1", "h2").agg(first, F.first("halves").alias("halves"))
+    ).select("h1", "h2", _place().alias("place"), *[F.get("halves", F.lit(k)).alias(f"half{k}") for k in range(4)])
+    # numbers only, so that equal lines are found by hashing and not by sorting
+    halves = [F.first(f"half{k}").alias(f"half{k}") for k in range(4)]
+    found = keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), *halves)
+    return found.select("h1", "h2", _first().alias("first"), F.array_compact(F.array(*[f"half{k}" for k in range(4)])).alias("halves"))
 
 
 def _variants(hashes: Column) -> Column:
@@ -133,7 +152,7 @@ def one_edit_apart(a: Column, b: Column) -> Column:
     )
 
 
-def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def duplicate_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """The distinct lines (h1, h2, first) that stay, and those one edit after an earlier one (with its place)."""
     unique = stored(distinct_lines(docs, least), "lines")
     halves = unique.select("h1", "h2", F.explode("halves").alias("half"))
@@ -184,7 +203,7 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame,
     return kept, gone
 
 
-def line_report(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def line_report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_lines, n_judged (lines with enough words) and n_removed (those that drop_lines drops), one row per doc_id."""
 
     def judged(text: Column) -> Column:
@@ -197,7 +216,7 @@ def line_report(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return totals.select("doc_id", "n_lines", "n_judged", (F.col("n_judged") - F.col("n_left")).alias("n_removed"))
 
 
-def drop_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def drop_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with all its columns, the texts without duplicate lines; ``n_chars`` follows where there is one.
 
     A text none of whose lines goes stays as it is, null included. A row left without any line has the empty text.

@@ -136,23 +136,24 @@ WITH split_up AS (
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 worded AS (
   SELECT doc_id, line_no, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM split_up),
-judged AS (SELECT * FROM worded WHERE len(w) >= {op4_lines.MIN_WORDS}),
+judged AS (SELECT * FROM worded WHERE len(w) >= {op4_lines.LEAST}),
 uniq AS (
   SELECT array_to_string(w, ' ') AS t, any_value(w) AS w, min({{'d': doc_id, 'n': line_no}}) AS pos
   FROM judged GROUP BY 1),
-places AS (SELECT t, w, pos, unnest(generate_series(1, len(w))) AS i FROM uniq),
+long_lines AS (SELECT * FROM uniq WHERE len(w) >= {op4_lines.MIN_WORDS}),
+places AS (SELECT t, w, pos, unnest(generate_series(1, len(w))) AS i FROM long_lines),
 variants AS (
   SELECT t, pos, i, len(w) AS n, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM places),
 change AS (
   SELECT t, pos, min(pos) OVER (PARTITION BY n, i, v) AS other FROM variants),
-shorter AS (SELECT v.t, v.pos, u.pos AS other FROM variants v JOIN uniq u ON v.v = u.t),
-longer AS (SELECT u.t, u.pos, v.pos AS other FROM variants v JOIN uniq u ON v.v = u.t),
+shorter AS (SELECT v.t, v.pos, u.pos AS other FROM variants v JOIN long_lines u ON v.v = u.t),
+longer AS (SELECT u.t, u.pos, v.pos AS other FROM variants v JOIN long_lines u ON v.v = u.t),
 gone AS (
   SELECT DISTINCT t FROM (SELECT * FROM change UNION ALL SELECT * FROM shorter UNION ALL SELECT * FROM longer)
   WHERE other < pos),
 stays AS (SELECT pos.d AS doc_id, count(*) AS n FROM uniq WHERE t NOT IN (SELECT t FROM gone) GROUP BY 1),
 totals AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (len(w) >= {op4_lines.MIN_WORDS}) AS n_judged
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (len(w) >= {op4_lines.LEAST}) AS n_judged
   FROM worded GROUP BY doc_id)
 SELECT doc_id, n_lines, n_judged, n_judged - coalesce(n, 0) AS n_removed FROM totals LEFT JOIN stays USING (doc_id)"""
 

@@ -47,9 +47,10 @@ def without_lines(texts):
         kept = []
         for line in texts[i].split("\n"):
             words = WORD.findall(line)
-            if len(words) >= op4_lines.MIN_WORDS:
+            if words:
                 near = (e for n in (-1, 0, 1) for e in earlier[len(words) + n])
-                found = any(one_edit(words, e) for e in near)
+                least = op4_lines.MIN_WORDS
+                found = any(e == words or min(len(e), len(words)) >= least and one_edit(words, e) for e in near)
                 earlier[len(words)].append(words)
                 if found:
                     continue
