@@ -190,8 +190,9 @@ def test_lines_against_all_pairs(spark):
             lines.append(other)
     random.shuffle(lines)
     texts = ["\n".join("  ".join(x) for x in lines[k : k + 4]) for k in range(0, len(lines), 4)]
-    judged = [(k // 4 + 1, x) for k, x in enumerate(lines) if len(x) >= op4_lines.MIN_WORDS]
-    gone = Counter(i for k, (i, x) in enumerate(judged) if any(edits(x, y) <= 1 for _, y in judged[:k]))
+    judged = [(k // 4 + 1, x) for k, x in enumerate(lines) if x]
+    alike = lambda x, y: x == y or min(len(x), len(y)) >= op4_lines.MIN_WORDS and edits(x, y) <= 1
+    gone = Counter(i for k, (i, x) in enumerate(judged) if any(alike(x, y) for _, y in judged[:k]))
     report = {r["doc_id"]: r["n_removed"] for r in op4_lines.line_report(frame(spark, *texts)).collect()}
     assert report == {i: gone[i] for i in range(1, len(texts) + 1)} and sum(gone.values()) > 30
 
@@ -209,10 +210,10 @@ def test_short_lines_lose_their_repeats(spark):
         "\n".join([*planted, "", "All rights reserved", "one two three four five six seven eight nine"]),
         "\n".join(["only here", *planted, "", "  All   rights reserved. ", "one two three four five six seven eight ten"]),
     )
-    got = {r["doc_id"]: r["text"].split("\n") for r in op4_lines.drop_lines(rows, least=1).collect()}
+    got = {r["doc_id"]: r["text"].split("\n") for r in op4_lines.drop_lines(rows).collect()}
     assert got[1][:6] == [*planted, "", "All rights reserved"] and len(got[1]) == 7
     assert got[2] == ["only here", ""]
-    report = {r["doc_id"]: (r["n_lines"], r["n_judged"], r["n_removed"]) for r in op4_lines.line_report(rows, least=1).collect()}
+    report = {r["doc_id"]: (r["n_lines"], r["n_judged"], r["n_removed"]) for r in op4_lines.line_report(rows).collect()}
     assert report == {1: (7, 6, 0), 2: (8, 7, 6)}
 
 
@@ -404,9 +405,11 @@ def test_edited_texts_and_likeness(docs, bodies):
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(bodies[i])
         if edited == bodies[i]:
             assert got[i]["near_edited"] == 1.0
-        a, b = (re.findall(".{12}", got[i][c]) for c in ("fingerprint", "edited_fingerprint"))
+        prints = [got[i][c] for c in ("fingerprint", "edited_fingerprint")]
+        a, b = (set() if p.startswith("=") else set(re.findall(".{12}", p)) for p in prints)
+        assert all(int(h, 16) < 2**47 for h in a | b)
         smaller = min(len(a), len(b))
-        assert got[i]["near_edited"] == (len({*a} & {*b}) / smaller if smaller else float(len(a) == len(b)))
+        assert got[i]["near_edited"] == (len(a & b) / smaller if smaller else float(not a and not b and prints[0] == prints[1]))
     long = [i for i in ids if len(bodies[i]) > 3000]
     assert sum(got[i]["near_edited"] > got[i]["near_next"] for i in long) > 0.95 * len(long)
 
@@ -419,8 +422,57 @@ def test_short_texts_are_found_whole_in_long_ones(spark):
         op10_fingerprint.merged(op10_fingerprint.sketch(F.col("head")), op10_fingerprint.sketch(F.col("tail"))).alias("parts"),
         op10_fingerprint.sketch(F.col("long")).alias("whole"),
     ).collect()
-    assert {r["share"] for r in got} == {1.0}
-    assert all(r["parts"] == r["whole"] for r in got)
+    assert {r["share"] for r in got} <= {0.0, 1.0} and sum(r["share"] for r in got) > 0.7 * len(got)  # 0: a mark, one in two of one shingle
+    assert all(r["parts"] == r["whole"]["kept"] for r in got)
+
+
+@pytest.mark.parametrize("fraction", [0.5, 0.25])
+def test_containment_of_very_unequal_texts(spark, fraction):
+    """A third of a text of 60 to 1,500 words lies in one of 30,000: the estimates' error is the stated one."""
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(9**9)}" for _ in range(30_000)]
+    rows = []
+    for n in (60, 300, 1500):
+        for _ in range(40):
+            at = rng.randrange(len(long) - n)
+            rows.append((n, " ".join(long[at : at + n // 3] + [f"x{rng.randrange(9**9)}" for _ in range(n - n // 3)])))
+    whole = op10_fingerprint.sketch(F.lit(" ".join(long)), fraction)
+    made = op10_fingerprint.sketch(F.col("text"), fraction)
+    got = spark.createDataFrame(rows, "n int, text string").select("n", op10_fingerprint.likeness(made, whole).alias("share")).collect()
+    for n in (60, 300, 1500):
+        exact = (n // 3 - 4) / (n - 4)
+        errors = [r["share"] - exact for r in got if r["n"] == n]
+        stated = (exact * (1 - exact) * (1 - fraction) / (fraction * (n - 4))) ** 0.5
+        rms = (sum(e * e for e in errors) / len(errors)) ** 0.5
+        assert rms < 1.6 * stated and abs(sum(errors) / len(errors)) < 4 * stated / len(errors) ** 0.5
+
+
+def test_marks_match_only_themselves(spark):
+    texts_ = [f"only{k} a b c d" for k in range(60)]
+    rows = spark.createDataFrame([(t, t, texts_[k - 1]) for k, t in enumerate(texts_)], "a string, b string, c string")
+    like = lambda x, y: op10_fingerprint.likeness(op10_fingerprint.sketch(F.col(x)), op10_fingerprint.sketch(F.col(y)))
+    got = rows.select(like("a", "b").alias("same"), like("a", "c").alias("other"), op10_fingerprint.as_string(op10_fingerprint.sketch(F.col("a"))).alias("f")).collect()
+    assert all(r["same"] == 1.0 and r["other"] == 0.0 for r in got) and len({r["f"] for r in got}) == 60
+    assert 10 < sum(r["f"].startswith("=") for r in got) < 50
+
+
+def test_hot_doc_ids_are_split_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(op10_fingerprint, "RANGE_ROWS", 20)
+    rows = [(None, f"n{k}") for k in range(150)] + [(5, f"t{k}") for k in range(200)] + [(k, f"u{k}") for k in range(100)]
+    frame_ = spark.createDataFrame(rows, "doc_id long, text string")
+    out = op10_fingerprint.with_next(frame_)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan
+    got = [(r["doc_id"], r["text"], r["next_text"]) for r in out.collect()]
+    assert sorted(x[1] for x in got) == sorted(x[1] for x in rows) == sorted(x[2] for x in got)
+    following = {t: n for _, t, n in got}
+    chain, at = [], "u99"
+    for _ in range(len(rows)):
+        at = following[at]
+        chain.append(at)
+    ids = {t: i for i, t in rows}
+    order = [(-1 if ids[t] is None else ids[t]) for t in chain]
+    assert order == sorted(order) and len(set(chain)) == len(rows)
 
 
 def test_ranges_join_up(spark, monkeypatch):
