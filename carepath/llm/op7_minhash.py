@@ -6,13 +6,18 @@ hash: both agree between two sets with the probability of their similarity, so 1
 every value makes a sketch of 384 bits, of which such sets differ in 48 on average (standard deviation 6.5); pairs
 that differ by over seven deviations more are not compared further.
 
-Documents with equal sets are one class from the start. Classes that share a band are compared on their full sets:
-first each with the smallest class of its bucket; then, between the components found so far, every pair of a
-bucket that is still in two components and whose sizes and bits allow the similarity. Inside a component no further
-pair can change the result, so a large group of copies costs edges in proportion to its size, not its square.
+Documents with equal sets are one class from the start. Classes that share a band are compared on their full sets, in
+two rounds whose work grows with the number of classes and not with the square of a group's:
+
+1. Bands are used in three groups, few first. In each bucket a class is paired with the smallest class only, with
+   one such head per component, and only while the two are still in different components.
+2. The classes of buckets that still hold several components are joined exactly: shingles are ordered by how many of
+   these classes have them, and two sets of similarity 0.75 share one of the rarest 1/4 of the larger set's and 1/7 of
+   the smaller set's (with size and position bounds). Near misses that differ in more than a seventh of their
+   shingles have only their own ones there and are never paired, however many of them share a bucket.
 
 Nothing of all documents meets in a task or the driver: signatures, buckets and edges are rows that Spark shuffles by
-band, class or document, and components are found by rounds of hooking and pointer jumping on stored tables.
+band, class, shingle or document, and components are found by rounds of hooking and pointer jumping on stored tables.
 
 Defined results: documents without a word have an empty set, are linked with nothing and kept; fewer words than
 a shingle form one; rows with the same doc_id are one document for links, each row being returned; a null doc_id
@@ -36,6 +41,9 @@ DEVIATIONS = 7.4
 SEED = 20_240_501
 WORKER_WORDS = 500_000
 BLOCK = 4096
+# The bands of the first round's three groups end here; buckets are made of SLICE bands at a time.
+BAND_GROUPS = (4, 16, 64)
+SLICE = 16
 
 
 class Shingler:
@@ -172,11 +180,8 @@ def shingle_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(chosen, "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    pairs = stored(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(shingle_sets(docs, nodes), "shingles")
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     common = both.select("a", "b", F.size("left").alias("n"), F.size("right").alias("m"),
                          F.size(F.array_intersect("left", "right")).alias("c"))
@@ -194,6 +199,53 @@ def _may_be_similar(percent: int) -> Column:
     return (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (differing <= most)
 
 
+def _buckets(classes: DataFrame) -> DataFrame:
+    """band, bucket, node, head (the bucket's smallest node) of all buckets with several classes, some bands at a time."""
+    found = None
+    for start in range(0, 2 * PERMUTATIONS // BAND_ROWS, SLICE):
+        members = classes.select("node", F.posexplode(F.slice("bands", start + 1, SLICE)).alias("at", "bucket"))
+        shared = members.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
+        inside = members.join(shared.select("bucket", "head"), "bucket")
+        inside = stored(inside.select((F.col("at") + start).alias("band"), "bucket", "node", "head"), "buckets")
+        found = inside if found is None else found.unionByName(inside)
+    return found
+
+
+def _with_component(rows: DataFrame, found: DataFrame, node: str, component: str) -> DataFrame:
+    return rows.join(found.toDF(node, component), node, "left").withColumn(component, F.coalesce(component, node))
+
+
+def _rare_prefix_pairs(sets: DataFrame, components_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of two components that may be similar, by the rarest shingles of both sets.
+
+    With the percentage p, sets x and y, y not the larger, of similarity p have at least p/100 of x and 2p/(100 + p) of y
+    in common; so one of the rarest |x| - that + 1 shingles of x is among the rarest |y| - that + 1 of y.
+    """
+    # rows that share a doc_id may have several sets
+    which = F.xxhash64("shingles").alias("which")
+    spread = sets.select("node", which, F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    ordered = spread.join(often, "shingle").groupBy("node", "which", "n").agg(
+        F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("ordered")
+    )
+    need = lambda part, whole: F.ceil(F.col("n") * part / whole).cast("int")
+    probe = F.col("n") - need(percent, 100) + 1
+    index = F.col("n") - need(2 * percent, 100 + percent) + 1
+    cut = ordered.select("node", "n", index.alias("index"), F.posexplode(F.slice("ordered", F.lit(1), probe)).alias("pos", "s"))
+    # what no other set has meets nothing
+    cut = cut.where("s.often > 1").select("node", "n", "index", "pos", F.col("s.shingle").alias("shingle"))
+    cut = stored(_with_component(cut, components_, "node", "component"), "prefixes")
+    large = cut.select("shingle", F.col("node").alias("a"), F.col("n").alias("n"), F.col("pos").alias("i"), F.col("component").alias("p"))
+    small = cut.where(F.col("pos") < F.col("index")).select(
+        "shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("component").alias("q")
+    )
+    sized = (F.col("m") * 100 >= F.col("n") * percent) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("a"))))
+    # from their first common shingle on, both sets must have enough left
+    left = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    met = large.join(small, (large["shingle"] == small["shingle"]) & (F.col("p") != F.col("q")) & sized & left)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row per row."""
     sketched = stored(sketches(docs), "sketches")
@@ -207,29 +259,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         ),
         "classes",
     )
-    members = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last"))
-    inside = stored(members.join(shared.where("head < last").select("bucket", "head"), "bucket"), "buckets")
-    pairs = inside.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    inside = _buckets(classes)
+    sets = stored(shingle_sets(docs, inside.select("node").distinct()), "shingles")
     facts = classes.select("node", "n", "bits")
-    known = pairs.join(facts.toDF("a", "n", "x"), "a").join(facts.toDF("b", "m", "y"), "b")
-    links = stored(_confirmed(docs, known.where(_may_be_similar(percent)).select("a", "b"), percent), "links")
-    found = components(links)
+    links = found = tested = None
+    for low, high in zip((0, *BAND_GROUPS), BAND_GROUPS, strict=False):
+        pairs = inside.where((F.col("band") >= low) & (F.col("band") < high) & (F.col("node") > F.col("head")))
+        pairs = pairs.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+        if found is not None:
+            pairs = _with_component(_with_component(pairs, found, "a", "p"), found, "b", "q")
+            pairs = pairs.where("p <> q").groupBy("p", "b").agg(F.min("a").alias("a")).select("a", "b")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        known = pairs.join(facts.toDF("a", "n", "x"), "a").join(facts.toDF("b", "m", "y"), "b")
+        candidates = stored(known.where(_may_be_similar(percent)).select("a", "b"), "pairs")
+        tested = candidates if tested is None else tested.unionByName(candidates)
+        more = stored(_confirmed(sets, candidates, percent), "links")
+        links = more if links is None else links.unionByName(more)
+        found = components(links)
 
     # what two components of a bucket may still have in common
-    placed = stored(
-        inside.select("bucket", "node").join(found, "node", "left").select(
-            "bucket", "node", F.coalesce("component", "node").alias("component")
-        ),
-        "placed",
-    )
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    split = placed.join(split.where("lo < hi").select("bucket"), "bucket", "left_semi").join(facts, "node")
-    split = stored(split.select("bucket", "node", "n", "bits", "component"), "split")
-    x, y = split.toDF("bucket", "a", "n", "x", "p"), split.toDF("bucket", "b", "m", "y", "q")
-    apart = (F.col("a") < F.col("b")) & (F.col("p") != F.col("q"))
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & apart & _may_be_similar(percent)).select("a", "b").distinct()
-    more = stored(_confirmed(docs, rest, percent), "links")
+    placed = _with_component(inside.select("bucket", "node"), found, "node", "component")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    apart = stored(placed.join(split.select("bucket"), "bucket", "left_semi").select("node").distinct(), "apart")
+    rest = stored(_rare_prefix_pairs(sets.join(apart, "node", "left_semi"), found, percent), "pairs")
+    more = stored(_confirmed(sets, rest, percent), "links")
     found = components(links.unionByName(more))
 
     # joined on the size as well, so that a hot class is dealt by both and can be split

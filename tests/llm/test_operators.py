@@ -333,6 +333,73 @@ def test_a_chain_of_links_is_one_component(spark):
     assert {r["component_id"] for r in op7_minhash.near_duplicates(rows).collect()} == {1}
 
 
+def compared_pairs(spark, monkeypatch, rows):
+    """The classes found and how many pairs were compared on their full sets, by round."""
+    counts, real = [], op7_minhash._confirmed
+
+    def counted(sets, pairs, percent):
+        counts.append(pairs.count())
+        return real(sets, pairs, percent)
+
+    monkeypatch.setattr(op7_minhash, "_confirmed", counted)
+    got = {r["doc_id"]: r["component_id"] for r in op7_minhash.near_duplicates(rows).collect()}
+    return got, counts
+
+
+def test_a_family_of_near_misses_gives_no_square_of_pairs(spark, monkeypatch):
+    """Any two of a family have similarity 0.735: pairs grow no faster than documents."""
+    core = [f"c{k}" for k in range(204)]
+    totals = {}
+    for n in (400, 800):
+        rows = frame(spark, *(" ".join([*core, *(f"u{n}x{d}x{k}" for k in range(36))]) for d in range(n)))
+        got, counts = compared_pairs(spark, monkeypatch, rows)
+        assert got == {d: d for d in range(1, n + 1)}
+        assert counts[-1] == 0  # the exact join pairs none of them
+        totals[n] = sum(counts)
+    assert totals[800] <= 2.5 * totals[400] and totals[800] < 8 * 800  # all pairs would be 319,600
+
+
+def test_a_family_of_near_copies_is_one_component_at_few_pairs(spark, monkeypatch):
+    """400 copies of one text with a few words changed, and two groups of 100 just too far from it and each other."""
+    rng = random.Random(9)
+    base = [f"c{k}" for k in range(300)]
+    texts_ = []
+    for tail, n in ((0, 400), (58, 100), (59, 100)):
+        for d in range(n):
+            words = base[: 300 - tail] + [f"t{tail}x{k}" for k in range(tail)]
+            words[rng.randrange(100, 110)] = f"new{tail}x{d}"
+            texts_.append(" ".join(words))
+    got, counts = compared_pairs(spark, monkeypatch, frame(spark, *texts_))
+    sets = [shingles(t) for t in texts_]
+    assert len(sets[0] & sets[450]) / len(sets[0] | sets[450]) < 0.75
+    assert got == {d: 1 if d <= 400 else 401 if d <= 500 else 501 for d in range(1, 601)}
+    assert sum(counts) < 20 * 600
+
+
+def test_the_exact_join_finds_what_no_bucket_paired(spark):
+    """Links between sets of different size at the threshold, found without the first round."""
+    rng = random.Random(6)
+    texts_ = []
+    for f in range(40):
+        words = [f"f{f}w{k}" for k in range(rng.randint(30, 120))]
+        texts_.append(words)
+        for _ in range(3):
+            other = words[: rng.randint(int(0.7 * len(words)), len(words))] + [f"z{rng.randrange(9**9)}" for _ in range(rng.randint(0, 12))]
+            texts_.append(other)
+    rows = frame(spark, *map(" ".join, texts_))
+    sets = op7_minhash.shingle_sets(rows, rows.select(F.col("doc_id").alias("node"))).cache()
+    alone = rows.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
+    pairs = op7_minhash._rare_prefix_pairs(sets, alone, 75)
+    got = {(r["a"], r["b"]) for r in op7_minhash._confirmed(sets, pairs, 75).collect()}
+    plain = [shingles(" ".join(t)) for t in texts_]
+    want = {
+        (a + 1, b + 1)
+        for a in range(len(plain)) for b in range(a + 1, len(plain))
+        if 100 * len(plain[a] & plain[b]) >= 75 * len(plain[a] | plain[b])
+    }
+    assert got == want and len(want) > 20
+
+
 def test_components_of_random_graphs(spark):
     random.seed(2)
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)]
