@@ -15,6 +15,7 @@ from carepath.operators import (
 )
 from carepath.plans import evaluation
 from carepath.session import new_folder
+from carepath.sources import claim_index, record_store
 from carepath.sources import claims as claim_tables
 from carepath.sources import standins
 from carepath.sources import traces as trace_sources
@@ -310,6 +311,15 @@ def claim_lookup(t):
     return timeline.claim_lookup(standins.claims(t), newest)
 
 
+@query
+def indexed_claim_lookup(t):
+    """All records under one patient's medical claims, from written tables by way of their index."""
+    root = new_folder(t.spark, "indexed")
+    claim_index.write_indexed_claims(standins.claims(t), root)
+    mine = standins.medical_claim(t).where(F.col("patient_id") == SAMPLE_PATIENT)
+    return claim_index.claim_lookup(t.spark, root, mine)
+
+
 @query
 def claims_by_ndc(t):
     """Claims for every drug that is some patient's latest medication."""
@@ -412,13 +422,26 @@ def _trace_records(t: TestTables) -> DataFrame:
     return evalset.trace_to_record(_traces(t))
 
 
+def _error_records(t: TestTables) -> DataFrame:
+    """Error traces again, three days later and by another author."""
+    later = _traces(t).where("state = 'ERROR'").withColumn("ts", F.expr("ts + interval 3 days"))
+    return evalset.trace_to_record(later, "rerun")
+
+
 @query
 def upsert_records(t):
-    """Error traces again, three days later and by another author, merged into the records of all traces."""
-    again = evalset.trace_to_record(
-        _traces(t).where("state = 'ERROR'").withColumn("ts", F.expr("ts + interval 3 days")), "rerun"
-    )
-    return _flat_records(evalset.upsert_records(_trace_records(t), again))
+    """The error traces' new records merged into the records of all traces."""
+    return _flat_records(evalset.upsert_records(_trace_records(t), _error_records(t)))
+
+
+@query
+def merged_record_store(t):
+    """The same merge into a bucketed store, bucket by bucket, the second one run twice."""
+    path = new_folder(t.spark, "records")
+    record_store.create_store(t.spark, path)
+    for updates in (_trace_records(t), _error_records(t), _error_records(t)):
+        record_store.merge_records(updates, path)
+    return _flat_records(record_store.load_store(t.spark, path))
 
 
 @query

@@ -569,6 +569,12 @@ def oracle_sql() -> dict[str, str]:
         FOUR, f"select {EVENT_COLUMNS} from ev where claim_id in (select claim_id from ({ON_DATE}))",
         days=CLAIM_DAYS, ev=CLAIM_EVENTS,
     )
+    out["indexed_claim_lookup"] = with_(
+        FOUR,
+        f"select {EVENT_COLUMNS} from ev where claim_id in (select claim_id from medical_claim where patient_id = "
+        "'70efdf2ec9b086079795c442636b55fb')",
+        ev=CLAIM_EVENTS,
+    )
     out["claims_by_ndc"] = with_(
         "pharmacy_claim",
         f"select ndc, claim_id, patient_id, date_service from pharmacy_claim where ndc in (select ndc from ({LATEST_FILL}))",
@@ -674,6 +680,7 @@ def oracle_sql() -> dict[str, str]:
             by="case when state = 'ERROR' then 'rerun' else 'trace' end",
         ),
     )
+    out["merged_record_store"] = out["upsert_records"]
     out["sync_labels"] = """
         select md5('user:Summarise document ' || d.doc_id) as dataset_record_id, '2024-01-01' as created_on,
                'importer' as created_by, case when l.doc_id is null then '2024-01-01' else '2024-02-01' end as updated_on,
