@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from carepath import schemas
 from carepath.functions.ranking import newest_per_key, total_order
 from carepath.functions.text import record_id
 
+if TYPE_CHECKING:
+    from carepath.sources.claims import Claims
+
 DOCUMENT_LIMIT = 1000
 NUM_EVALS = 10
 
@@ -98,6 +104,70 @@ def generate_evals(
     )
 
 
+def _table_questions() -> dict[str, list[tuple[Column, Column]]]:
+    """(question, expected facts) per row of each claim table; a question's facts are in its own row.
+
+    The last diagnosis question also asks for what the medical claim says, which is joined to the chosen ones.
+    """
+    pid, cid = F.col("patient_id"), F.col("claim_id")
+    day = F.col("date_service").cast("string")
+    since = F.col("date_start").cast("string")
+    code = F.col("diagnosis_code")
+    ask = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return {
+        "enrollment": [
+            (ask("In which state was patient ", pid, " enrolled from ", since, "?"), F.array("patient_state")),
+            (ask("Which benefit and payer did patient ", pid, " have from ", since, "?"), F.array("benefit_type", "pay_type")),
+        ],
+        "medical_claim": _templates(),
+        "diagnosis": [
+            (ask("On which date was diagnosis ", code, " given to patient ", pid, " under claim ", cid, "?"), F.array(day)),
+            (ask("When and where was patient ", pid, " seen for diagnosis ", code, " of claim ", cid, "?"), F.array(day)),
+        ],
+        "pharmacy_claim": [
+            (ask("Which drug did patient ", pid, " get under claim ", cid, "?"), F.array("ndc")),
+            (ask("How many days of supply did patient ", pid, " get under claim ", cid, "?"), F.array(F.col("days_supply").cast("string"))),
+        ],
+        "procedure": [
+            (ask("On which date was procedure ", F.col("procedure_code"), " of claim ", cid, " done for patient ", pid, "?"), F.array(day)),
+        ],
+    }
+
+
+QUOTA = 2
+
+
+def generate_table_evals(claims: Claims, quota: int = QUOTA) -> DataFrame:
+    """Questions over all five claim tables: per patient the ``quota`` smallest record ids of each table.
+
+    Result: (dataset_record_id, source_table, patient_id, claim_id, question, expected_facts).  A sample stratified by
+    table: a patient whom only one table knows gets that table's questions, and a table with many rows doesn't push
+    the others out.  A question asked by several rows is one record with the smallest of their facts.  Facts that the
+    medical claim holds are joined to the chosen questions only, not to all rows.
+    """
+    parts = []
+    for table, templates in _table_questions().items():
+        pairs = F.array(*[F.struct(q.alias("question"), F.array_compact(f).alias("expected_facts")) for q, f in templates])
+        claim = "claim_id" if table != "enrollment" else F.lit(None).cast("string").alias("claim_id")
+        asked = getattr(claims, table).select("patient_id", claim, F.inline_outer(pairs))
+        parts.append(asked.where(F.col("question").isNotNull() & (F.size("expected_facts") > 0)).withColumn("source_table", F.lit(table)))
+    asked = reduce(DataFrame.unionByName, parts)
+    messages = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content")))
+    named = asked.withColumn("dataset_record_id", record_id(messages))
+    # one row per question before the cut: the texts combine in the map tasks
+    once = named.groupBy("patient_id", "source_table", "dataset_record_id", "claim_id", "question").agg(
+        F.min("expected_facts").alias("expected_facts")
+    )
+    chosen = newest_per_key(once, ["patient_id", "source_table"], [F.col("dataset_record_id")], quota)
+    places = claims.medical_claim.where(F.col("location_of_care").isNotNull()).groupBy("patient_id", "claim_id").agg(
+        F.min("location_of_care").alias("place")
+    )
+    both = F.col("question").startswith("When and where ")
+    joined = chosen.join(places.withColumn("source_table", F.lit("diagnosis")), ["patient_id", "claim_id", "source_table"], "left")
+    facts = F.when(both & F.col("place").isNotNull(), F.array_append("expected_facts", F.col("place"))).otherwise(F.col("expected_facts"))
+    return joined.select("dataset_record_id", "source_table", "patient_id", "claim_id", "question", facts.alias("expected_facts"))
+
+
 def eval_rows(evals: DataFrame, created_by: str, at: Column) -> DataFrame:
     """Eval records in the nested evaluation-table schema, from document-based evals."""
     source = F.struct(

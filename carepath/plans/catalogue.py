@@ -413,6 +413,12 @@ def generate_evals(t):
     )
 
 
+@query
+def generate_table_evals(t):
+    """Questions over all five claim tables, two of each table per patient."""
+    return evalset.generate_table_evals(standins.claims(t)).withColumn("expected_facts", F.array_join("expected_facts", "|"))
+
+
 @query
 def eval_record_id(t):
     return messages.conversation_ids(messages.append_messages(standins.messages(t)))

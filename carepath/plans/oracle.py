@@ -197,6 +197,33 @@ EVALS = (
     )
     + ")) where er <= 10"
 )
+_TABLE_QUESTIONS = [
+    ("enrollment", "'In which state was patient ' || patient_id || ' enrolled from ' || date_start || '?'", "[patient_state]"),
+    ("enrollment", "'Which benefit and payer did patient ' || patient_id || ' have from ' || date_start || '?'", "[benefit_type, pay_type]"),
+    *[("medical_claim", q, f) for q, f in _QUESTIONS],
+    ("diagnosis", "'On which date was diagnosis ' || diagnosis_code || ' given to patient ' || patient_id || ' under claim ' || claim_id || '?'",
+     "[cast(date_service as varchar)]"),
+    ("diagnosis", "'When and where was patient ' || patient_id || ' seen for diagnosis ' || diagnosis_code || ' of claim ' || claim_id || '?'",
+     "[cast(date_service as varchar), (select min(location_of_care) from medical_claim m where m.claim_id = t.claim_id "
+     "and m.patient_id = t.patient_id)]"),
+    ("pharmacy_claim", "'Which drug did patient ' || patient_id || ' get under claim ' || claim_id || '?'", "[ndc]"),
+    ("pharmacy_claim", "'How many days of supply did patient ' || patient_id || ' get under claim ' || claim_id || '?'",
+     "[cast(days_supply as varchar)]"),
+    ("procedure", "'On which date was procedure ' || procedure_code || ' of claim ' || claim_id || ' done for patient ' || patient_id || '?'",
+     "[cast(date_service as varchar)]"),
+]
+TABLE_EVALS = (
+    "select dataset_record_id, source_table, patient_id, claim_id, question, facts as expected_facts from (select *, row_number() over "
+    "(partition by patient_id, source_table order by dataset_record_id) as er from ("
+    "select dataset_record_id, source_table, patient_id, claim_id, question, min(facts) as facts from ("
+    + " union all ".join(
+        f"select md5('user:' || {q}) as dataset_record_id, '{table}' as source_table, patient_id, "
+        f"{'cast(null as varchar)' if table == 'enrollment' else 'claim_id'} as claim_id, {q} as question, "
+        f"array_to_string(list_filter({f}, lambda x: x is not null), '|') as facts from {'procs' if table == 'procedure' else table} t"
+        for table, q, f in _TABLE_QUESTIONS
+    )
+    + ") where question is not null and facts <> '' group by 1, 2, 3, 4, 5)) where er <= 2"
+)
 FLAT_EVALS = """select dataset_record_id, '2024-01-01' as created_on, 'generator' as created_by,
     '2024-01-01' as updated_on, 'generator' as last_updated_by, cast(null as string) as user_name,
     'PATIENT_ID: ' || patient_id as doc_uri, cast(null as string) as trace_id, question,
@@ -664,6 +691,7 @@ def oracle_sql() -> dict[str, str]:
         "select dataset_record_id, patient_id, claim_id, question, array_to_string(facts, '|') as expected_facts from evals",
         evals=EVALS,
     )
+    out["generate_table_evals"] = with_("enrollment " + FOUR, TABLE_EVALS)
     out["eval_record_id"] = with_(
         "messages",
         "select conv_id, case when count(*) = 1 then any_value(md5(body)) else md5(string_agg(md5(body), '' order by part_no)) end "

@@ -125,3 +125,30 @@ def test_a_label_never_turns_time_back(spark):
     label = spark.createDataFrame([("1", "u", ["f"], early)], "dataset_record_id string, user_name string, expected_facts array<string>, labelled_at timestamp")
     (row,) = evalset.sync_labels(dataset, label).collect()
     assert row.last_update_time == NOON and row.last_updated_by == "u"
+
+
+def test_every_table_asks_and_patients_without_medical_claims_do(spark, medical):
+    from test_routing import claims_of, diag, fill
+
+    claims = claims_of(
+        spark,
+        enrollment=[("e", "F", "1980", "1", "NY", day("2020-01-01"), None, "m", "x")],
+        medical_claim=[tuple(r) for r in medical.collect()],
+        diagnosis=[diag("c1", "a", "2021-01-02", "Z1"), diag("c1", "a", "2021-01-02", "Z1"), diag("q", "d", "2021-03-01", "Z2")],
+        pharmacy_claim=[fill("r1", "f", "2021-01-01")],
+    )
+    made = evalset.generate_table_evals(claims, quota=3)
+    got = made.collect()
+    per = {}
+    for r in got:
+        per.setdefault((r.patient_id, r.source_table), []).append(r)
+    assert {k: len(v) for k, v in per.items()} == {
+        ("a", "medical_claim"): 3, ("b", "medical_claim"): 3, ("a", "diagnosis"): 2, ("d", "diagnosis"): 2,
+        ("e", "enrollment"): 2, ("f", "pharmacy_claim"): 2,
+    }
+    seen = {(r.patient_id, r.question): r.expected_facts for r in got}
+    assert seen[("a", "When and where was patient a seen for diagnosis Z1 of claim c1?")] == ["2021-01-02", "office"]
+    assert seen[("d", "When and where was patient d seen for diagnosis Z2 of claim q?")] == ["2021-03-01"]
+    assert len({r.dataset_record_id for r in got}) == len(got)
+    again = evalset.generate_table_evals(claims, quota=3)
+    assert rows(made) == rows(again)
