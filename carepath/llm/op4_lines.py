@@ -31,6 +31,8 @@ LEAST = 1
 # A place is doc_id times LINES plus the line's number; a null doc_id counts as NO_DOC, one beyond the longs.
 LINES = 2**31
 NO_DOC = str(2**63)
+# What a key stands for: a whole line, one without a word, one with a word masked.
+WHOLE, GAP, CHANGE = 0, 1, 2
 # The two largest primes below 2^31; sums and products of residues fit in a long.
 PRIMES = (2147483647, 2147483629)
 
@@ -172,23 +174,24 @@ def duplicate_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
         words(F.get("all", F.col("x.line_no"))).alias("w"),
     ).where(F.xxhash64(F.transform("w", lambda x: F.xxhash64(x))) == F.col("h1"))  # of rows that share a doc_id, the one meant
     # stored with the variants, which are read twice
-    spelled = spelled.dropDuplicates(["h1", "h2"]).withColumn("v", _variants(F.transform("w", lambda x: F.xxhash64(x))))
+    spelled = spelled.withColumn("place", _place()).dropDuplicates(["h1", "h2"]).withColumn("v", _variants(F.transform("w", lambda x: F.xxhash64(x))))
     spelled = stored(spelled, "line-words")
-    keyed = spelled.select("h1", "h2", F.struct("doc_id", "line_no").alias("at"), F.size("w").alias("n"), "v")
+    # roles and places are numbers, so that keys meet by hashing and not by sorting
+    keyed = spelled.select("h1", "h2", F.col("place").alias("at"), F.size("w").alias("n"), "v")
     roles = F.concat(
-        F.array(F.struct(F.lit("whole").alias("role"), F.xxhash64(F.lit("gap"), F.col("n")).alias("k1"), F.col("v.whole").alias("k2"))),
-        F.transform("v.without", lambda v: F.struct(F.lit("gap").alias("role"), F.xxhash64(F.lit("gap"), F.col("n") - 1).alias("k1"), v.alias("k2"))),
-        F.transform("v.without", lambda v, i: F.struct(F.lit("change").alias("role"), F.xxhash64(F.lit("change"), F.col("n"), i).alias("k1"), v.alias("k2"))),
+        F.array(F.struct(F.lit(WHOLE).alias("role"), F.xxhash64(F.lit("gap"), F.col("n")).alias("k1"), F.col("v.whole").alias("k2"))),
+        F.transform("v.without", lambda v: F.struct(F.lit(GAP).alias("role"), F.xxhash64(F.lit("gap"), F.col("n") - 1).alias("k1"), v.alias("k2"))),
+        F.transform("v.without", lambda v, i: F.struct(F.lit(CHANGE).alias("role"), F.xxhash64(F.lit("change"), F.col("n"), i).alias("k1"), v.alias("k2"))),
     )
     emitted = keyed.select("h1", "h2", "at", F.explode(roles).alias("r")).select("h1", "h2", "at", "r.*")
     of = lambda role: F.min(F.when(F.col("role") == role, F.col("at")))
     groups = (
         emitted.groupBy("k1", "k2")
-        .agg(of("whole").alias("whole"), of("gap").alias("gap"), of("change").alias("change"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+        .agg(of(WHOLE).alias("whole"), of(GAP).alias("gap"), of(CHANGE).alias("change"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
         .where("lo <> hi")
     )
     met = emitted.join(groups.drop("lo", "hi"), ["k1", "k2"])
-    other = F.when(F.col("role") == "whole", F.col("gap")).when(F.col("role") == "gap", F.col("whole")).otherwise(F.col("change"))
+    other = F.when(F.col("role") == WHOLE, F.col("gap")).when(F.col("role") == GAP, F.col("whole")).otherwise(F.col("change"))
     earliest = (
         met.select("h1", "h2", "at", other.alias("other"))
         .where("other < at")
@@ -196,9 +199,9 @@ def duplicate_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
         .agg(F.min("other").alias("other"))
     )
     mine = earliest.join(spelled.select("h1", "h2", "w"), ["h1", "h2"])
-    theirs = spelled.select(F.struct("doc_id", "line_no").alias("other"), F.col("w").alias("w2"))
+    theirs = spelled.select(F.col("place").alias("other"), F.col("w").alias("w2"))
     verified = mine.join(theirs, "other").where(one_edit_apart(F.col("w"), F.col("w2")))
-    gone = stored(verified.select("h1", "h2", "other"), "lines-gone")
+    gone = stored(verified.select("h1", "h2", F.col("other").alias("place")).select("h1", "h2", _first().alias("other")), "lines-gone")
     kept = unique.select("h1", "h2", "first").join(gone, ["h1", "h2"], "left_anti")
     return kept, gone
 
