@@ -221,9 +221,9 @@ def _rare_prefix_pairs(sets: DataFrame, components_: DataFrame, percent: int) ->
     With the percentage p, sets x and y, y not the larger, of similarity p have at least p/100 of x and 2p/(100 + p) of y
     in common; so one of the rarest |x| - that + 1 shingles of x is among the rarest |y| - that + 1 of y.
     """
-    # rows that share a doc_id may have several sets
-    which = F.xxhash64("shingles").alias("which")
-    spread = sets.select("node", which, F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    # rows that share a doc_id may have several sets; a set is hashed once, before it is spread
+    whole = sets.select("node", F.xxhash64("shingles").alias("which"), F.size("shingles").alias("n"), "shingles")
+    spread = whole.select("node", "which", "n", F.explode("shingles").alias("shingle"))
     often = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     ordered = spread.join(often, "shingle").groupBy("node", "which", "n").agg(
         F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("ordered")
