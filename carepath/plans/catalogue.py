@@ -782,6 +782,62 @@ def _run_append(t: TestTables, df: DataFrame, label: str) -> DataFrame:
     return t.spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
+# The event backlog is delivered in this many parts by time, a run of the stream after each.
+DELIVERIES = 3
+
+
+class Inbox:
+    """Events staged by delivery, then put part by part into the folder that a stream watches.
+
+    ``arrivals(events, part)`` gives the rows with the number of their delivery as ``arrival``;
+    ``part`` maps a timestamp to its part of the events' span of time.
+    """
+
+    def __init__(self, t: TestTables, label: str, arrivals: Callable[[DataFrame, Callable[[Column], Column]], DataFrame]):
+        self.spark, self.folder, self.schema = t.spark, new_folder(t.spark, label), t.events.schema
+        seconds = F.col("ts").cast("timestamp").cast("long")
+        span = t.events.agg(F.min(seconds).alias("first"), F.max(seconds).alias("last")).first()
+        first, length = span["first"] or 0, (span["last"] or 0) - (span["first"] or 0) + 1
+
+        def part(ts: Column) -> Column:
+            passed = (ts.cast("timestamp").cast("long") - first) * DELIVERIES
+            return F.least(F.floor(passed / length), F.lit(DELIVERIES - 1)).cast("int")
+
+        arrivals(t.events, part).write.partitionBy("arrival").parquet(f"{self.folder}/staged")
+
+    def deliver(self, number: int) -> None:
+        staged = self.spark.read.schema(f"{self.schema.toDDL()}, arrival int").parquet(f"{self.folder}/staged")
+        staged.where(F.col("arrival") == number).drop("arrival").write.mode("append").parquet(f"{self.folder}/in")
+
+    def stream(self, spark: SparkSession) -> DataFrame:
+        return standins.traces_of(spark.readStream.schema(self.schema).parquet(f"{self.folder}/in"))
+
+
+def _in_order(events: DataFrame, part: Callable[[Column], Column]) -> DataFrame:
+    return events.withColumn("arrival", part(F.col("ts")))
+
+
+def _some_late(events: DataFrame, part: Callable[[Column], Column]) -> DataFrame:
+    """Every 97th event of the first part comes with the last one, far behind the watermark."""
+    late = (part(F.col("ts")) == 0) & (F.col("event_id") % 97 == 0)
+    return events.withColumn("arrival", F.when(late, DELIVERIES - 1).otherwise(part(F.col("ts"))))
+
+
+def _errors_twice(events: DataFrame, part: Callable[[Column], Column]) -> DataFrame:
+    """Every error once more, up to 50 minutes later and so often in the next delivery."""
+    again = events.where("event_type = 'error'").withColumn("arrival", part(F.col("ts") + F.expr("interval 50 minutes")))
+    return _in_order(events, part).unionByName(again)
+
+
+def _run_deliveries(t: TestTables, inbox: Inbox, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Each delivery worked off by a run of its own that goes on from the checkpoint; what was appended."""
+    for number in range(DELIVERIES):
+        inbox.deliver(number)
+        df = plan(inbox.stream(t.spark))
+        monitor.start_append(df, f"{inbox.folder}/out", f"{inbox.folder}/checkpoint", {"availableNow": True}).awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(f"{inbox.folder}/out")
+
+
 def _run_complete(t: TestTables, df: DataFrame, label: str) -> DataFrame:
     folder = new_folder(t.spark, label)
     monitor.start_complete(df, f"{folder}/out", f"{folder}/checkpoint", {"availableNow": True}).awaitTermination()
@@ -801,16 +857,51 @@ def monitor_stream(t):
 
 @query
 def monitor_dedup(t):
-    """Traffic in which every error was sent twice, scored once.
+    """Traffic in which every error was sent twice, scored once: three deliveries, a restart after each.
 
-    The backlog is one micro-batch here: its files are in no order of time, and
-    between batches the watermark would drop old rows as late.
+    Files are read in the order of their arrival, so the backlog is delivered by time; within a delivery
+    the order does not matter.
     """
     s = _streaming(t)
-    once = standins.traces_of(s.stream("events"))
-    twice = once.unionByName(once.where("state = 'ERROR'"))
-    scores = monitor.score_traffic(monitor.dedup_traffic(twice), MONITOR)
-    return _run_append(t, scores, "dedup").select("trace_id", "state", "scorer", "value", "rationale")
+    plan = lambda traces: monitor.score_traffic(monitor.dedup_traffic(traces), MONITOR)
+    once = _run_deliveries(s, Inbox(s, "dedup", _errors_twice), plan)
+    return once.select("trace_id", "state", "scorer", "value", "rationale")
+
+
+@query
+def monitor_live(t):
+    """Three deliveries scored by one running stream; before the last, a rate is raised and a scorer added."""
+    s = _streaming(t)
+    inbox = Inbox(s, "live", _in_order)
+    log = f"{inbox.folder}/log"
+    at = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+
+    def register(*entries: tuple) -> None:
+        rows = s.spark.createDataFrame(list(entries), "name string, action string, scorer string, sample_rate double, filter_string string, seq bigint")
+        rows.withColumn("registered_at", at).coalesce(1).write.mode("append").parquet(log)
+
+    register(*[(m.name, "register", m.scorer, m.sample_rate, m.filter_string, i) for i, m in enumerate(MONITOR)])
+    inbox.deliver(0)
+    running = monitor.start_live(
+        inbox.stream(s.spark), lambda spark: spark.read.parquet(log), f"{inbox.folder}/out", f"{inbox.folder}/checkpoint",
+        {"processingTime": "0 seconds"},
+    )
+    try:
+        for number in range(DELIVERIES):
+            if number == DELIVERIES - 1:
+                register(
+                    ("safety_check", "update", "safety", 0.8, "state = 'ERROR'", 10),
+                    ("no_contact", "register", "no_pii", 0.3, None, 11),
+                    ("not_run", "register", "safety", 1.0, "upper(state) = 'OK'", 12),
+                )
+            if number:
+                inbox.deliver(number)
+            running.processAllAvailable()
+    finally:
+        running.stop()
+    return monitor.read_live(s.spark, f"{inbox.folder}/out").select(
+        "trace_id", "state", "scorer", "config_version", "value", "rationale"
+    )
 
 
 def _day(name: str) -> Column:
@@ -836,3 +927,18 @@ def error_rate_trend(t):
     s = _streaming(t)
     trend = monitor.error_rate_trend(_stream_traces(s))
     return _run_complete(t, trend, "errors").withColumn("window_start", _day("window_start"))
+
+
+@query
+def quality_trend_closed(t):
+    """The trend appended window by window: late rows left out, the last day still open."""
+    s = _streaming(t)
+    plan = lambda traces: monitor.quality_trend(monitor.score_traffic(traces, MONITOR), watermark=monitor.WATERMARK)
+    return _run_deliveries(s, Inbox(s, "closed", _some_late), plan).withColumn("window_start", _day("window_start"))
+
+
+@query
+def error_rate_trend_closed(t):
+    s = _streaming(t)
+    plan = lambda traces: monitor.error_rate_trend(traces, watermark=monitor.WATERMARK)
+    return _run_deliveries(s, Inbox(s, "closed", _some_late), plan).withColumn("window_start", _day("window_start"))

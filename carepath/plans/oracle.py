@@ -365,6 +365,18 @@ MONITOR_USES = [
 ]
 MONITORED = with_("traces", scored("rec", MONITOR_USES, "state,"), rec=TRACE_RECORDS)
 MONITORED_TS = scored("rec", MONITOR_USES, "ts,")
+# Traces with the third of the whole span of time they fall into.
+TIME_PARTS = """
+    select t.*, least(2, floor((cast(floor(epoch(ts)) as bigint) - lo) * 3 / (hi - lo + 1))) as part
+    from traces t, (select min(cast(floor(epoch(ts)) as bigint)) as lo, max(cast(floor(epoch(ts)) as bigint)) as hi from traces)"""
+# A rate raised, a filter set and a scorer added for the last third.
+LIVE_USES = [
+    ("safety_check", "safety", f"part < 2 and {sampled('safety_check', 0.5)}", 1),
+    ("safety_check", "safety", f"part >= 2 and {sampled('safety_check', 0.8)} and state = 'ERROR'", 2),
+    ("is_english", "guideline_english", sampled("is_english", 0.7), 1),
+    ("is_grounded", "groundedness", sampled("is_grounded", 0.8) + " and state = 'OK'", 1),
+    ("no_contact", "no_pii", f"part >= 2 and {sampled('no_contact', 0.3)}", 1),
+]
 
 # --- messages, routing --------------------------------------------------------------------
 
@@ -900,4 +912,27 @@ def oracle_sql() -> dict[str, str]:
         "count(*) filter (state <> 'OK') as n_errors, cast(count(*) filter (state <> 'OK') as double) / count(*) as error_rate "
         "from traces group by 1",
     )
+    out["monitor_live"] = with_(
+        "traces",
+        " union all ".join(
+            f"select *, {version} as config_version from ({scored('rec', [(name, kind, where)], 'state,')})"
+            for name, kind, where, version in LIVE_USES
+        ),
+        parts=TIME_PARTS, rec=record("parts", request="request", response="response", ctx="ctx", ts="ts", state="state", part="part"),
+    )
+    on_time = "select * from parts where not (part = 0 and cast(trace_id as bigint) % 97 = 0)"
+    closed = "date_trunc('day', ts) + interval 1 day <= (select max(ts) from {0}) - interval 1 hour"
+    out["quality_trend_closed"] = with_(
+        "traces",
+        "select scorer, strftime(date_trunc('day', ts), '%Y-%m-%d') as window_start, count(*) as n_scores, "
+        f"{mean} as mean_value from scores where {closed.format('scores')} group by 1, 2",
+        parts=TIME_PARTS, kept=on_time, rec=TRACE_RECORDS.replace("from traces", "from kept"), scores=MONITORED_TS,
+    )
+    out["error_rate_trend_closed"] = with_(
+        "traces",
+        "select strftime(date_trunc('day', ts), '%Y-%m-%d') as window_start, count(*) as n_traces, "
+        "count(*) filter (state <> 'OK') as n_errors, cast(count(*) filter (state <> 'OK') as double) / count(*) as error_rate "
+        f"from kept where {closed.format('kept')} group by 1",
+        parts=TIME_PARTS, kept=on_time,
+    )
     return out

@@ -17,6 +17,7 @@ class MonitorScorer:
     scorer: str
     sample_rate: float
     filter_string: str | None = None
+    version: int = 1
 
 
 def _judged(log: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def active_scorers(config: DataFrame) -> list[MonitorScorer]:
     rows = config.where("active").orderBy("name").limit(MAX_SCORERS + 1).collect()
     if len(rows) > MAX_SCORERS:
         raise ValueError(f"more than {MAX_SCORERS} active scorers")
-    return [MonitorScorer(r.name, r.scorer, float(r.sample_rate), r.filter_string) for r in rows]
+    return [MonitorScorer(r.name, r.scorer, float(r.sample_rate), r.filter_string, r.version) for r in rows]
 
 
 def get_scorer(scorers: list[MonitorScorer], name: str) -> MonitorScorer:

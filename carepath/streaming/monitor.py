@@ -1,27 +1,28 @@
 """Scoring live traffic: sampled, filtered, deduplicated, and its trends.
 
 Late data: rows more than WATERMARK behind the newest event seen are dropped by
-the stateful operators (deduplication and append-mode trends).
+the stateful operators (deduplication and append-mode trends); ``dropped_late`` counts them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from carepath.functions.filters import FilterError, check_filter, filter_column
 from carepath.functions.sampling import in_sample
-from carepath.operators.scorers import Use, evaluate
-from carepath.streaming.config import MAX_SCORERS, MonitorScorer
+from carepath.operators.scorers import SCORERS, Use, evaluate
+from carepath.streaming.config import MAX_SCORERS, MonitorScorer, active_scorers, scorer_config
 
 WATERMARK = "1 hour"
 
 
-def _condition(s: MonitorScorer) -> Column:
+def _condition(traces: DataFrame, s: MonitorScorer) -> Column:
     chosen = in_sample(s.name, F.col("trace_id"), s.sample_rate)
-    return chosen & F.expr(s.filter_string) if s.filter_string else chosen
+    return chosen & filter_column(traces, s.filter_string) if s.filter_string else chosen
 
 
 def scorer_sample(traces: DataFrame, scorers: Sequence[MonitorScorer], use_filters: bool = False) -> DataFrame:
@@ -32,7 +33,7 @@ def scorer_sample(traces: DataFrame, scorers: Sequence[MonitorScorer], use_filte
     """
     _check(scorers)
     picks = [
-        F.when(_condition(s) if use_filters else in_sample(s.name, F.col("trace_id"), s.sample_rate), F.lit(s.name))
+        F.when(_condition(traces, s) if use_filters else in_sample(s.name, F.col("trace_id"), s.sample_rate), F.lit(s.name))
         for s in scorers
     ]
     # an array with NULLs for the scorers not picked, unfolded and then cleared of them:
@@ -63,7 +64,7 @@ def score_traffic(traces: DataFrame, scorers: Sequence[MonitorScorer]) -> DataFr
     The same row-local projection as an offline evaluation; stateless on a stream.
     """
     _check(scorers)
-    return evaluate(traces, [Use(s.name, s.scorer, _condition(s)) for s in scorers], keep=("ts", "state"))
+    return evaluate(traces, [Use(s.name, s.scorer, _condition(traces, s)) for s in scorers], keep=("ts", "state"))
 
 
 def dedup_traffic(traces: DataFrame, watermark: str = WATERMARK) -> DataFrame:
@@ -82,8 +83,15 @@ def dedup_traffic(traces: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     )
 
 
-def quality_trend(scores: DataFrame, window: str = "1 day", slide: str | None = None) -> DataFrame:
-    """Scores and their mean per scorer and window (tumbling, or sliding with ``slide``)."""
+def quality_trend(
+    scores: DataFrame, window: str = "1 day", slide: str | None = None, watermark: str | None = None
+) -> DataFrame:
+    """Scores and their mean per scorer and window (tumbling, or sliding with ``slide``).
+
+    With a watermark the trend can be appended: a window is given once, when no row of it can
+    come any more, and its state goes.  Rows of closed windows are dropped.
+    """
+    scores = scores.withWatermark("ts", watermark) if watermark else scores
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
     exact = F.col("value").cast("decimal(18,6)")
     return (
@@ -102,8 +110,9 @@ def quality_trend(scores: DataFrame, window: str = "1 day", slide: str | None =
     )
 
 
-def error_rate_trend(traces: DataFrame, window: str = "1 day") -> DataFrame:
-    """Traces, those not OK, and their share per window."""
+def error_rate_trend(traces: DataFrame, window: str = "1 day", watermark: str | None = None) -> DataFrame:
+    """Traces, those not OK, and their share per window; with a watermark as in ``quality_trend``."""
+    traces = traces.withWatermark("ts", watermark) if watermark else traces
     bad = F.count(F.when(F.col("state") != "OK", 1))
     return (
         traces.groupBy(F.window("ts", window).alias("w"))
@@ -160,3 +169,90 @@ def read_latest(spark: SparkSession, out: str) -> DataFrame:
     """The newest version that ``start_complete`` has published."""
     newest = spark.read.parquet(f"{out}/published").agg(F.max(F.struct("version", "slot")).alias("v")).first()["v"]
     return spark.read.parquet(f"{out}/slots/{newest.slot}")
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that the stateful operators dropped as late in the recent batches of a query.
+
+    An aggregation drops after its partial step, so there a group of late rows counts as one per task.
+    """
+    operators = [op for progress in query.recentProgress for op in progress["stateOperators"]]
+    return sum(op["numRowsDroppedByWatermark"] for op in operators)
+
+
+# The configuration a batch was scored with, scorers left out included.
+BATCH_CONFIG = (
+    "name string, scorer string, sample_rate double, filter_string string, config_version bigint, problem string"
+)
+
+
+def _problem(traces: DataFrame, s: MonitorScorer) -> str | None:
+    if s.scorer not in SCORERS:
+        return f"unknown scorer {s.scorer!r}"
+    if not 0.0 <= s.sample_rate <= 1.0:
+        return f"sample rate {s.sample_rate} is not in [0, 1]"
+    try:
+        if s.filter_string:
+            check_filter(traces, s.filter_string)
+    except FilterError as error:
+        return str(error)
+    return None
+
+
+def score_versioned(traces: DataFrame, scorers: Sequence[MonitorScorer]) -> DataFrame:
+    """``score_traffic`` with the configuration version of each score's scorer; no scorers give no rows."""
+    none = [MonitorScorer("none", "safety", 0.0)]
+    scores = score_traffic(traces, scorers or none)
+    versions = F.create_map(*[F.lit(v) for s in scorers or none for v in (s.name, s.version)])
+    return scores.withColumn("config_version", F.element_at(versions, F.col("scorer")).cast("long"))
+
+
+def start_live(
+    traces: DataFrame,
+    read_log: Callable[[SparkSession], DataFrame],
+    out: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Score a stream with the scorers registered at each micro-batch, without restarts.
+
+    ``read_log`` gives the registration log; it is read once per batch, so a registration or an update
+    takes effect with the next batch.  The at most MAX_SCORERS active entries are first kept under
+    ``out``/config/batch=n and then used from there: a batch run again after a failure is scored as
+    the first time, and its scores are written over.  An entry with an unknown scorer, a rate out of
+    range or a filter string that does not pass is left out, with its problem; the stream goes on.
+    """
+
+    def configured(batch: DataFrame, batch_id: int) -> list[MonitorScorer]:
+        session = batch.sparkSession
+        entries = f"{out}/config/batch={batch_id}"
+        path = session._jvm.org.apache.hadoop.fs.Path(f"{entries}/_SUCCESS")
+        if not path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path):
+            rows = [
+                (s.name, s.scorer, s.sample_rate, s.filter_string, s.version, _problem(batch, s))
+                for s in active_scorers(scorer_config(read_log(session)))
+            ]
+            session.createDataFrame(rows, BATCH_CONFIG).coalesce(1).write.mode("overwrite").parquet(entries)
+        kept = session.read.schema(BATCH_CONFIG).parquet(entries).where("problem is null").orderBy("name").collect()
+        return [MonitorScorer(r.name, r.scorer, r.sample_rate, r.filter_string, r.config_version) for r in kept]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        scores = score_versioned(batch, configured(batch, batch_id))
+        scores.write.mode("overwrite").parquet(f"{out}/scores/batch={batch_id}")
+
+    return (
+        traces.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "1 minute"}))
+        .start()
+    )
+
+
+def read_live(spark: SparkSession, out: str) -> DataFrame:
+    """The scores written by ``start_live``, with the batch that gave them."""
+    return spark.read.parquet(f"{out}/scores")
+
+
+def live_config(spark: SparkSession, out: str) -> DataFrame:
+    """The configuration of every batch: BATCH_CONFIG and batch."""
+    return spark.read.schema(BATCH_CONFIG + ", batch bigint").parquet(f"{out}/config")
