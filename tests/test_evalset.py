@@ -1,13 +1,15 @@
 import datetime
 
 import pytest
-from conftest import day, rows
+from conftest import day, plan_of, rows
 from pyspark.sql import functions as F
 
 from carepath import schemas
+from carepath.functions.text import question_id, record_id
 from carepath.operators import evalset, labels
 from carepath.session import new_folder
 from carepath.sources import claims as claim_tables
+from carepath.sources import standins
 
 NOON = datetime.datetime(2024, 1, 1, 12)
 
@@ -152,3 +154,38 @@ def test_every_table_asks_and_patients_without_medical_claims_do(spark, medical)
     assert len({r.dataset_record_id for r in got}) == len(got)
     again = evalset.generate_table_evals(claims, quota=3)
     assert rows(made) == rows(again)
+
+
+def test_questions_are_cut_by_id_before_their_texts_move(spark, sf_dir):
+    t = standins.TestTables(spark, sf_dir)
+    claims = standins.medical_claim(t).repartition(4)
+    plan = plan_of(evalset.generate_evals(claims))
+    assert plan.count("Exchange hashpartitioning(patient_id") == 1 and "hashpartitioning(dataset_record_id" not in plan
+    plan = plan_of(evalset.generate_table_evals(standins.claims(t)))
+    assert "question" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    # every table's questions are limited below the shuffle and above it
+    assert plan.count("WindowGroupLimit") == 10
+
+
+def test_claims_recorded_twice_ask_once(spark):
+    d = day("2021-01-02")
+    twice = [("c", "a", d, None, None, "x"), ("c", "a", day("2021-01-03"), None, "office", "x"), ("c", "a", d, d, None, "x")]
+    medical = spark.createDataFrame(twice, schemas.MEDICAL_CLAIM)
+    got = {r.messages[0]["content"]: (r.expected_facts, r.date_service) for r in evalset.generate_evals(medical).collect()}
+    # the smallest document is the one of 2021-01-02; only the other one knows the place
+    assert got == {
+        "On which date was claim c of patient a served?": (["2021-01-02"], d),
+        "Where was care given to patient a under claim c?": (["office"], day("2021-01-03")),
+        "Which payer covered claim c of patient a?": (["x"], d),
+        "Summarise claim c of patient a.": (["c", "2021-01-02", "x"], d),
+    }
+    assert [r.dataset_record_id for r in evalset.generate_evals(medical.repartition(3), 2).orderBy("dataset_record_id").collect()] == sorted(
+        r.dataset_record_id for r in evalset.generate_evals(medical).collect()
+    )[:2]
+
+
+def test_question_id_is_the_record_id(spark):
+    df = spark.createDataFrame([("a?",), ("",), (None,)], "q string")
+    message = F.array(F.struct(F.lit("user").alias("role"), F.col("q").alias("content")))
+    got = df.select("q", question_id(F.col("q")).alias("a"), record_id(message).alias("b")).collect()
+    assert all(r.a == (None if r.q is None else r.b) for r in got)
