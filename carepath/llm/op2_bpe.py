@@ -1,6 +1,6 @@
 """Byte-pair encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The words of all texts are counted by Spark. The most frequent ``lexicon_words`` (a parameter: the lexicon's bound)
+The words of all texts, the whole of each, are counted by Spark. The most frequent ``lexicon_words`` (a parameter: the lexicon's bound)
 are encoded by exact merging and compiled into a minimal acyclic automaton: words share prefixes and suffixes, edges
 carry numbers whose sum along a word is its place in the list of ids. Its arrays are one file that every executor
 gets once and maps into memory, so its Python workers share the pages. Tasks look up the distinct words of a batch,
@@ -16,11 +16,12 @@ a null doc_id is passed on; an empty table gives no rows; other columns are not
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,6 @@ from carepath.llm.common import stored, texts
 from carepath.session import new_folder
 
 LEXICON_WORDS = 131_072
-# Words are counted for the lexicon in one of so many texts, by hash; no id depends on what it holds.
-SAMPLE_PARTS = 8
 # Bounds of what one worker holds, not of what is encoded: a full store is emptied, a batch is done in parts.
 WORKER_WORDS = 400_000
 PART_TEXTS = 200
@@ -112,16 +111,22 @@ class Splitter:
 
         self.special = special
         self.find = regex.compile(PATTERN).findall
+        # the same pattern for texts of ASCII alone, where it is that of few classes
+        blank = "".join(f"\\x{k:02x}" for k in range(128) if regex.fullmatch(r"\s", chr(k)))
+        self.find_ascii = re.compile(rf"[a-z]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^{blank}a-z0-9]+").findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
 
     def words(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.special):
-            return self.find(_normal(text))
+            return self._found(text)
         found = []
         for piece in self.cut(text):
-            found += [piece] if piece in self.special else self.find(_normal(piece))
+            found += [piece] if piece in self.special else self._found(piece)
         return found
 
+    def _found(self, text: str) -> list[str]:
+        return self.find_ascii(text.lower()) if text.isascii() else self.find(_normal(text))
+
 
 def _normal(text: str) -> str:
     # lower case character by character: a final capital sigma is no exception
@@ -284,8 +289,7 @@ def share_lexicon(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary,
     """Compile the lexicon of the corpus, write it to the shared folder; the name executors get the file by."""
     from pyarrow import fs
 
-    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_PARTS)) == 0)
-    frequent = frequent_words(word_counts(part, vocabulary.special), lexicon_words).collect()
+    frequent = frequent_words(word_counts(docs, vocabulary.special), lexicon_words).collect()
     entries = {r["word"]: vocabulary.merge(r["word"]) for r in frequent if r["word"] not in vocabulary.special}
     folder = new_folder(spark, "lexicon")
     name = folder.rsplit("/", 1)[1] + ".bin"
@@ -297,14 +301,56 @@ def share_lexicon(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary,
     return name
 
 
-_MEMORY: dict[str, dict[str, tuple]] = {}
+class Memory(dict):
+    """Words to numbers, and by number a word's ids and their tokens; words met for the first time wait for theirs."""
+
+    def __init__(self, special: dict[str, int]):
+        super().__init__()
+        self.special = special
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.ids, self.starts, self.sizes = array("i"), array("q"), array("q")
+        self.decoded: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def learn(self, lexicon: Lexicon, book: Vocabulary) -> None:
+        """Ids for the words that wait: special strings their own, others from the lexicon, the rest by merging."""
+        for word, found in zip(self.new, lexicon.look_up(self.new), strict=True):
+            ids = (self.special[word],) if word in self.special else found or book.merge(word)
+            self.starts.append(len(self.ids))
+            self.sizes.append(len(ids))
+            self.ids.extend(ids)
+            self.decoded.append(" ".join(map(book.tokens.__getitem__, ids)))
+        self.new = []
+
+    def spread(self, numbers: list[int]) -> tuple:
+        """The ids of the words one after the other, and where each word's begin (one entry more than words)."""
+        import numpy as np
+
+        words = np.array(numbers, np.int64)
+        sizes = np.frombuffer(self.sizes, np.int64)[words] if numbers else words
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        if not numbers:
+            return np.array([], np.int32), ends
+        shift = np.frombuffer(self.starts, np.int64)[words] - ends[:-1]
+        return np.frombuffer(self.ids, np.int32)[np.repeat(shift, sizes) + np.arange(ends[-1])], ends
+
+
+_MEMORY: dict[str, Memory] = {}
 
 
-def worker_memory(lexicon: str, special: dict[str, tuple]) -> dict[str, tuple]:
+def worker_memory(lexicon: str, special: dict[str, int]) -> Memory:
     """The words this worker process has met, kept from task to task for one lexicon."""
     if lexicon not in _MEMORY:
         _MEMORY.clear()
-        _MEMORY[lexicon] = dict(special)
+        _MEMORY[lexicon] = Memory(special)
     return _MEMORY[lexicon]
 
 
@@ -321,23 +367,23 @@ def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON_WORDS)
 
         book, lexicon = shared.value, Lexicon(SparkFiles.get(name))
         split = Splitter(book.special)
-        special = {s: (i,) for s, i in book.special.items()}
-        memory = worker_memory(name, special)
+        memory = worker_memory(name, book.special)
         for batch in batches:
             for at in range(0, batch.num_rows, PART_TEXTS):
                 part = batch.slice(at, PART_TEXTS)
-                cut = [split.words(t.as_py()) for t in part.column("text")]
                 if len(memory) > WORKER_WORDS:
-                    memory.clear()
-                    memory.update(special)
-                new = list({w for found in cut for w in found if w not in memory})
-                for word, ids in zip(new, lexicon.look_up(new), strict=True):
-                    memory[word] = ids or book.merge(word)
-                ids = [list(chain.from_iterable(map(memory.__getitem__, found))) for found in cut]
-                decoded = [" ".join(map(book.tokens.__getitem__, found)) for found in ids]
+                    memory.forget()
+                numbers, borders = [], [0]
+                for t in part.column("text"):
+                    numbers += map(memory.__getitem__, split.words(t.as_py()))
+                    borders.append(len(numbers))
+                memory.learn(lexicon, book)
+                ids, ends = memory.spread(numbers)
+                lists = pa.ListArray.from_arrays(pa.array(ends[borders], pa.int32()), pa.array(ids, pa.int32()))
+                tokens = list(map(memory.decoded.__getitem__, numbers))
+                decoded = [" ".join(tokens[a:b]) for a, b in zip(borders, borders[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
-                    names=["doc_id", "ids", "decoded"],
+                    [part.column("doc_id"), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"]
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()

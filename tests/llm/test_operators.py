@@ -574,3 +574,22 @@ def test_pipeline_stages(spark, sf_dir):
         assert docs.columns == columns, name
     last = corpus_pipeline.run(spark, sf_dir)
     assert last.count() == docs.count() > 0
+
+
+def test_the_lexicon_counts_every_text(spark, monkeypatch):
+    # each word is in one text only, so counts of a part of the texts would lack some
+    docs = spark.createDataFrame([(i, f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}") for i in range(100)], "doc_id long, text string")
+    entries = {}
+    keep = op2_bpe.compile_lexicon
+    monkeypatch.setattr(op2_bpe, "compile_lexicon", lambda words: entries.update(words) or keep(words))
+    op2_bpe.encode(docs, vocabulary_path(), 1000)
+    assert set(entries) == {r.text for r in docs.collect()}
+
+
+def test_plain_texts_are_cut_as_any_other():
+    split = op2_bpe.Splitter({})
+    marks = [chr(k) for k in range(128)]
+    texts = [a + b + c for a in marks for b in marks for c in ("", "'", "s", "1", " ")]
+    texts += ["it's WE'RE i'll 'dm 'VE''s l'l'll 12a3''t", "'re've'm'd're1'"]
+    for text in texts:
+        assert split.words(text) == split.find(op2_bpe._normal(text)), repr(text)
