@@ -41,3 +41,8 @@ def test_the_latest_fill_moves_only_what_decides_it(spark, sf_dir):
     columns = PHARMACY_CLAIM.fieldNames()
     whole = newest_per_key(fills.select(*columns), ["patient_id"], total_order("date_service", columns), 1)
     assert not got.select("patient_id", "claim_id", "ndc").exceptAll(whole.select("patient_id", "claim_id", "ndc")).count()
+
+
+def test_few_codes_are_broadcast_to_the_diagnoses(spark, sf_dir):
+    plan = plan_of(catalogue.QUERIES["claims_by_diagnosis"](standins.TestTables(spark, sf_dir)))
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(diagnosis_code" not in plan
