@@ -189,3 +189,30 @@ def test_question_id_is_the_record_id(spark):
     message = F.array(F.struct(F.lit("user").alias("role"), F.col("q").alias("content")))
     got = df.select("q", question_id(F.col("q")).alias("a"), record_id(message).alias("b")).collect()
     assert all(r.a == (None if r.q is None else r.b) for r in got)
+
+
+def test_a_rerun_of_a_merge_writes_nothing(spark, medical):
+    root = new_folder(spark, "rerun")
+    claim_tables.ensure_schema(spark, "t_rerun", f"{root}/s")
+    claim_tables.drop_dataset(spark, "t_rerun.data")
+    claim_tables.create_dataset(spark, "t_rerun.data", f"{root}/data", schemas.EVAL_TABLE)
+    frame = evalset.eval_rows(evalset.generate_evals(medical, 3), "gen", F.lit(NOON))
+    files = lambda: sorted(claim_tables.load_dataset(spark, "t_rerun.data").inputFiles())
+    claim_tables.merge_dataset(frame, "t_rerun.data", root)
+    before = files()
+    claim_tables.merge_dataset(frame, "t_rerun.data", root)
+    assert before and files() == before
+    later = evalset.eval_rows(evalset.generate_evals(medical, 1), "gen", F.lit(NOON + datetime.timedelta(microseconds=1)))
+    want = rows(evalset.upsert_records(claim_tables.load_dataset(spark, "t_rerun.data"), later).drop("tags"))
+    claim_tables.merge_dataset(later, "t_rerun.data", root)
+    assert files() != before and rows(claim_tables.load_dataset(spark, "t_rerun.data").drop("tags")) == want
+    claim_tables.drop_dataset(spark, "t_rerun.data")
+
+
+def test_changed_ids_are_those_an_upsert_changes(spark):
+    at = lambda k: NOON + datetime.timedelta(microseconds=k)
+    old = [record("same", NOON, "q"), record("newer", NOON, "q"), record("twice", NOON, "q"), record("twice", NOON, "q"), record("alone", NOON, "q")]
+    new = [record("same", NOON, "q"), record("same", NOON, "q"), record("newer", at(1), "q"), record("fresh", NOON, "q")]
+    old.append(tuple(None if k == 1 else v for k, v in enumerate(record("unborn", NOON, "q"))))
+    frames = [spark.createDataFrame(data, schemas.EVAL_TABLE) for data in (old, new)]
+    assert sorted(r[0] for r in evalset.changed_ids(*frames).collect()) == ["fresh", "newer", "twice", "unborn"]
