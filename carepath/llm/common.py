@@ -13,7 +13,7 @@ from carepath.session import new_folder
 WHITE = r"[\x20\x09-\x0D]"
 NOT_WHITE = r"[^\x20\x09-\x0D]"
 SHINGLE_WORDS = 5
-BLOCK = 256
+BLOCK = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ def texts(docs: DataFrame, *columns: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The maximal runs of non-white characters, in order (an empty array for none)."""
-    return F.filter(F.split(text, f"{WHITE}+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"{WHITE}+"), "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

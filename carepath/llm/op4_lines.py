@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carepath.llm.common import NOT_WHITE, WHITE, let, lines, running_sums, stored, texts, words
+from carepath.functions.sieve import likely
+from carepath.llm.common import NOT_WHITE, WHITE, computed_once, let, lines, running_sums, stored, texts, words
 
 MIN_WORDS = 8
 LEAST = 1
@@ -44,8 +45,9 @@ def is_judged(line: Column, least: int = LEAST) -> Column:
 
 def _numbered(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, line_no, w: the lines with enough words."""
-    rows = texts(docs, "doc_id").select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", words(F.col("line")).alias("w")).where(F.size("w") >= least)
+    rows = texts(docs, "doc_id").select("doc_id", F.posexplode_outer(lines(F.col("text"))).alias("line_no", "line"))
+    # judged by pattern: a filter on the words would split every line a second time
+    return rows.where(is_judged(F.col("line"), least)).select("doc_id", "line_no", words(F.col("line")).alias("w"))
 
 
 def _half_keys(hashes: Column) -> Column:
@@ -157,22 +159,22 @@ def one_edit_apart(a: Column, b: Column) -> Column:
 def duplicate_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """The distinct lines (h1, h2, first) that stay, and those one edit after an earlier one (with its place)."""
     unique = stored(distinct_lines(docs, least), "lines")
-    halves = unique.select("h1", "h2", F.explode("halves").alias("half"))
+    # rows without a shared half, or variant key, go before the shuffle
+    halves = unique.select("h1", "h2", "first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    near = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    near = unique.select("h1", "h2", "first").join(near, ["h1", "h2"])
-    wanted = stored(near.select("h1", "h2", "first"), "line-candidates")
+    shared = stored(shared, "line-halves")
+    near = likely(halves, shared, ["half"]).join(shared, "half", "left_semi").select("h1", "h2", "first")
+    wanted = stored(near.dropDuplicates(["h1", "h2"]), "line-candidates")
 
     # the candidates' words, from the document of each one's earliest occurrence
     by_doc = wanted.where("first.doc_id is not null").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "h1", "h2")
     listed = by_doc.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1", "h2")).alias("wanted"))
-    found = texts(docs, "doc_id").join(listed, "doc_id").select(
-        "doc_id", F.explode("wanted").alias("x"), lines(F.col("text")).alias("all")
-    )
-    spelled = found.select(
-        F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"), "doc_id", F.col("x.line_no").alias("line_no"),
-        words(F.get("all", F.col("x.line_no"))).alias("w"),
-    ).where(F.xxhash64(F.transform("w", lambda x: F.xxhash64(x))) == F.col("h1"))  # of rows that share a doc_id, the one meant
+    # a text is cut into lines once, however many of them are wanted; a line into words once
+    picked = lambda all_: F.transform("wanted", lambda x: F.struct(x["h1"], x["h2"], x["line_no"], F.get(all_, x["line_no"]).alias("line")))
+    found = likely(texts(docs, "doc_id"), by_doc, ["doc_id"]).join(listed, "doc_id").select("doc_id", F.inline_outer(let(lines(F.col("text")), picked)))
+    spelled = computed_once(found.select("doc_id", "h1", "h2", "line_no", words(F.col("line")).alias("w")), "doc_id", "h1", "h2", "line_no")
+    # of rows that share a doc_id, the one meant
+    spelled = spelled.where(F.xxhash64(F.transform("w", lambda x: F.xxhash64(x))) == F.col("h1"))
     # stored with the variants, which are read twice
     spelled = spelled.withColumn("place", _place()).dropDuplicates(["h1", "h2"]).withColumn("v", _variants(F.transform("w", lambda x: F.xxhash64(x))))
     spelled = stored(spelled, "line-words")
@@ -183,7 +185,11 @@ def duplicate_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
         F.transform("v.without", lambda v: F.struct(F.lit(GAP).alias("role"), F.xxhash64(F.lit("gap"), F.col("n") - 1).alias("k1"), v.alias("k2"))),
         F.transform("v.without", lambda v, i: F.struct(F.lit(CHANGE).alias("role"), F.xxhash64(F.lit("change"), F.col("n"), i).alias("k1"), v.alias("k2"))),
     )
-    emitted = keyed.select("h1", "h2", "at", F.explode(roles).alias("r")).select("h1", "h2", "at", "r.*")
+    emitted = keyed.select("h1", "h2", "at", F.explode_outer(roles).alias("r")).select("h1", "h2", "at", "r.*")
+    keys = emitted.select(F.xxhash64("k1", "k2").alias("key"), "h1")
+    several = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
+    several = stored(several, "line-keys")
+    emitted = stored(likely(emitted.withColumn("key", F.xxhash64("k1", "k2")), several, ["key"]).drop("key"), "line-variants")
     of = lambda role: F.min(F.when(F.col("role") == role, F.col("at")))
     groups = (
         emitted.groupBy("k1", "k2")

@@ -593,3 +593,12 @@ def test_plain_texts_are_cut_as_any_other():
     texts += ["it's WE'RE i'll 'dm 'VE''s l'l'll 12a3''t", "'re've'm'd're1'"]
     for text in texts:
         assert split.words(text) == split.find(op2_bpe._normal(text)), repr(text)
+
+
+def test_lines_are_split_once_and_short_of_a_partner_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a b\n\nc d e f g h i j"), (2, "a b\nc d e f g h i k")], "doc_id long, text string")
+    plan = op4_lines.distinct_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    # one split into lines, one of a line into words
+    assert plan.count("split(") == 2
+    kept, gone = op4_lines.duplicate_lines(docs)
+    assert kept.count() == 2 and [tuple(r.other) for r in gone.collect()] == [(False, 1, 2)]
