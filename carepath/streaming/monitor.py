@@ -237,7 +237,9 @@ def start_live(
         return [MonitorScorer(r.name, r.scorer, r.sample_rate, r.filter_string, r.config_version) for r in kept]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scores = score_versioned(batch, configured(batch, batch_id))
+        # scoring is dear and rows are narrow: dealt out first, however few files a batch has
+        dealt = batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        scores = score_versioned(dealt, configured(batch, batch_id))
         scores.write.mode("overwrite").parquet(f"{out}/scores/batch={batch_id}")
 
     return (

@@ -118,3 +118,12 @@ def test_closed_trend_over_restarts_with_late_rows(spark):
     got = spark.read.schema(trend.schema).parquet(f"{feed.root}/out").orderBy("window_start").collect()
     assert [(r.window_start.day, r.n_traces, r.n_errors) for r in got] == [(1, 2, 1), (3, 2, 1)]
     assert late == 1
+
+
+def test_a_batch_of_one_file_is_scored_in_many_tasks(spark):
+    feed = Feed(spark, "dealt")
+    feed.arrive(*[(str(i), 1, "OK") for i in range(400)])
+    feed.register((1, ("a", "register", "safety", 1.0, None)))
+    feed.live().awaitTermination()
+    scores = spark.read.parquet(f"{feed.root}/out/scores")
+    assert scores.count() == 400 and len(scores.inputFiles()) > 1
