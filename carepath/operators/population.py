@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carepath.functions.money import exact, exact_mean, exact_sum
@@ -108,10 +108,17 @@ def refill_gaps(pharmacy_claim: DataFrame) -> DataFrame:
     )
 
 
+def _packed(key: Column) -> Column:
+    """A key in half the bytes where it is 32 hexadecimal digits, else one longer than those; equal keys only are equal."""
+    other = F.concat(F.lit(bytearray(17)), F.encode(key, "UTF-8"))
+    return F.when(key.rlike(r"^[0-9a-f]{32}\z"), F.unhex(key)).otherwise(other)
+
+
 def diagnosis_trend(diagnosis: DataFrame) -> DataFrame:
     """Patients and claims per code and month, and the change in patients from the code's previous month listed."""
     monthly = diagnosis.groupBy("diagnosis_code", F.trunc("date_service", "MM").alias("month")).agg(
-        F.count_distinct("patient_id").alias("patients"), F.count_distinct("claim_id").alias("claims")
+        F.count_distinct(_packed(F.col("patient_id"))).alias("patients"),
+        F.count_distinct(_packed(F.col("claim_id"))).alias("claims"),
     )
     by_month = Window.partitionBy("diagnosis_code").orderBy("month")
     return monthly.withColumn("patients_change", F.col("patients") - F.lag("patients").over(by_month))

@@ -102,3 +102,13 @@ def test_money_in_equals_money_out(spark):
     assert (total.allowed, total.claims) == (55.0, 2)
     assert got[(day("2021-03-01"), None, 0)].allowed == 50.0 and got[(day("2021-03-01"), None, 0)].claims == 0
     assert got[(day("2021-02-01"), "y", 0)].claims == 1
+
+
+def test_trend_ids_are_shuffled_packed_and_stay_apart(spark):
+    a, raw = "0123456789abcdef" * 2, bytes.fromhex("41" * 16).decode()
+    ids = [a, a, a.upper(), a + "\n", "41" * 16, raw, "", None]
+    data = [(f"c{k % 3}", i, day("2021-01-02"), None, "Z1", None, None) for k, i in enumerate(ids)]
+    trend = population.diagnosis_trend(spark.createDataFrame(data, schemas.DIAGNOSIS))
+    assert "unhex" in trend._jdf.queryExecution().executedPlan().toString()
+    (got,) = trend.collect()
+    assert (got.patients, got.claims) == (6, 3)
