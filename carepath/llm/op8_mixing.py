@@ -18,11 +18,13 @@ doc_id is ordered like the empty id; an empty table selects nothing; other colum
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carepath.llm.common import stored, texts, words
+from carepath.llm.common import has_word, stored, texts, words
 
 SLICE_DIGITS = 3  # of the hexadecimal order key: 16^3 slices
 
@@ -82,6 +84,11 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
 def select(docs: DataFrame, mix: Mix) -> DataFrame:
     """doc_id, levels, n_tokens and copies (1 or more) of every selected document."""
+    return _drawn(docs, mix).select("doc_id", *mix.levels, "n_tokens", "copies")
+
+
+def _drawn(docs: DataFrame, mix: Mix) -> DataFrame:
+    """``select`` with the epochs of a document's leaf and the key that it is drawn by."""
     levels = list(mix.levels)
     named = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in levels]
     rows = texts(docs, "doc_id", *levels).select("doc_id", *named, F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
@@ -94,15 +101,32 @@ def select(docs: DataFrame, mix: Mix) -> DataFrame:
     )
     # one row per leaf; the size decides how Spark joins it
     placed = counted.join(plan, levels)
-    key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    placed = placed.withColumn("key", key).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
+    placed = placed.withColumn("key", _key(mix, "epochs")).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
     sums = placed.groupBy(*levels, "slice").agg(F.sum("n_tokens").alias("n"))
     order = Window.partitionBy(*levels).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*levels, "slice", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
     inside = Window.partitionBy(*levels, "slice").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     cut = placed.join(starts, [*levels, "slice"]).withColumn("end", F.col("start") + F.sum("n_tokens").over(inside))
     copies = (F.col("epochs") + F.when(F.col("end") <= F.col("rest"), 1).otherwise(0)).cast("long")
-    return cut.select("doc_id", *levels, "n_tokens", copies.alias("copies")).where("copies > 0")
+    return cut.select("doc_id", *levels, "n_tokens", "epochs", "key", copies.alias("copies")).where("copies > 0")
+
+
+def _key(mix: Mix, epochs: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col(epochs).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def drawn(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The rows of ``docs`` (with the levels as columns) that ``select`` draws, with all their columns, each once.
+
+    A leaf draws its documents in the order of their keys, so the last one drawn says of every row whether it
+    is: texts meet one row per leaf and are not shuffled. Rows that share a doc_id are each drawn by their own leaf.
+    """
+    levels = list(mix.levels)
+    last = F.max(F.struct("key", "doc_id")).alias("_last")
+    leaves = stored(_drawn(docs, mix).groupBy(*[F.col(c).alias(f"_{c}") for c in levels]).agg(F.max("epochs").alias("_epochs"), last), "mix-last")
+    same = [F.coalesce(F.col(c), F.lit("")) == F.col(f"_{c}") for c in levels]
+    met = docs.where(has_word(F.col("text"))).join(leaves, reduce(and_, same))
+    return met.where(F.struct(_key(mix, "_epochs").alias("key"), "doc_id") <= F.col("_last")).select(*docs.columns)
 
 
 def only(docs: DataFrame, selected: DataFrame) -> DataFrame:
@@ -111,10 +135,13 @@ def only(docs: DataFrame, selected: DataFrame) -> DataFrame:
     return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]), "left_semi")
 
 
+def domain() -> Column:
+    return F.when(F.col("source") == "src0", "crawl").when(F.col("source").rlike("[02468]$"), "books").otherwise("forums")
+
+
 def with_domain(docs: DataFrame) -> DataFrame:
     """doc_id, text, domain, lang, source: the domain of the test tables' sources, by a fixed rule."""
-    domain = F.when(F.col("source") == "src0", "crawl").when(F.col("source").rlike("[02468]$"), "books").otherwise("forums")
-    return docs.select("doc_id", "text", domain.alias("domain"), "lang", "source")
+    return docs.select("doc_id", "text", domain().alias("domain"), "lang", "source")
 
 
 LEVELS = ("domain", "lang", "source")

@@ -150,3 +150,16 @@ def test_null_levels_are_leaves(spark):
     mix = op8_mixing.Mix(("source",), budget_percent=100)
     assert sorted((r["doc_id"], r["source"]) for r in op8_mixing.select(rows, mix).collect()) == [(1, ""), (2, "s"), (3, "")]
     assert op8_mixing.only(rows, op8_mixing.select(rows, mix)).select(F.max("doc_id")).first()[0] == 3
+
+
+def test_documents_drawn_are_those_selected_and_texts_stay(spark):
+    data = [(k, "w " * (k % 9 + 1) if k % 11 else " ", "en" if k % 3 else None, f"src{k % 5}", k) for k in range(300)]
+    docs = spark.createDataFrame([*data, (None, "a b", "en", "src1", 0)], "doc_id long, text string, lang string, source string, n_chars int")
+    for percent, epochs in ((40, 1), (90, 2), (200, 3)):
+        mix = op8_mixing.Mix(("lang", "source"), budget_percent=percent, max_epochs=epochs)
+        got = op8_mixing.drawn(docs, mix)
+        assert got.columns == docs.columns and sorted(got.collect(), key=str) == sorted(
+            op8_mixing.only(docs, op8_mixing.select(docs, mix)).collect(), key=str
+        )
+    plan = op8_mixing.drawn(docs, mix)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
