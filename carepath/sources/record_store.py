@@ -4,6 +4,9 @@ A record's bucket comes from its id.  A manifest names the folder that each buck
 rewrites only the buckets that its updates fall into, leaves alone those whose rows come out as they were, and then
 publishes a new manifest.  Folders are never written twice, so a reader of an older manifest is not disturbed and a
 merge that fails leaves the table as it was.  The manifest has one row per bucket, at most MAX_BUCKETS.
+
+Records that no change can meet are not merged or compared: a filter of the changes' ids tells them apart as they are
+read, and they go only into the rewriting of a bucket in which another record changes.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carepath.functions.sieve import likely, unlikely
 from carepath.operators.evalset import sync_labels, upsert_records
 from carepath.schemas import EVAL_TABLE
 from carepath.session import stored
@@ -74,16 +78,24 @@ def _merge(spark: SparkSession, path: str, changes: DataFrame, apply: Callable[[
     version, n_buckets, folders = manifest(spark, path)
     changes = stored(changes.withColumn("_bucket", _bucket(n_buckets)), "changes")
     touched = [r["_bucket"] for r in changes.select("_bucket").distinct().collect()]  # at most MAX_BUCKETS
-    before = _read(spark, path, {b: folders[b] for b in touched if b in folders})
-    after = apply(before.drop("_bucket"), changes.drop("_bucket"))
+    filed = {b: folders[b] for b in touched if b in folders}
+    before = _read(spark, path, filed)
+    # the store has one record per id, and neither kind of change alters a record whose id it doesn't hold
+    met = likely(before, changes, ["dataset_record_id"]) if filed else before
+    after = apply(met.drop("_bucket"), changes.drop("_bucket"))
     after = stored(after.withColumn("_bucket", _bucket(n_buckets)), "merged")
-    was, now = _digests(before), _digests(after)
-    compared = now.join(was.toDF("_bucket", "n0", "h0"), "_bucket", "left")
-    changed = [r["_bucket"] for r in compared.where("n0 is null or n <> n0 or h <> h0").select("_bucket").collect()]
+    changed = {r["_bucket"] for r in after.select("_bucket").distinct().collect()} - set(filed)
+    if filed:
+        was, now = _digests(met), _digests(after)
+        compared = now.join(was.toDF("_bucket", "n0", "h0"), "_bucket", "left")
+        changed |= {r["_bucket"] for r in compared.where("n0 is null or n <> n0 or h <> h0").select("_bucket").collect()}
     if not changed:
         return []
     folder = uuid.uuid4().hex
-    rewritten = after.where(F.col("_bucket").isin(changed))
+    rewritten = after.where(F.col("_bucket").isin(sorted(changed)))
+    if changed & set(filed):
+        kept = unlikely(_read(spark, path, {b: filed[b] for b in changed if b in filed}), changes, ["dataset_record_id"])
+        rewritten = rewritten.unionByName(kept)
     # a bucket's rows go to one file per task range, however large the bucket
     rewritten.repartitionByRange("_bucket", "dataset_record_id").write.partitionBy("_bucket").parquet(f"{path}/data/write={folder}")
     rows = [(version + 1, n_buckets, b, f) for b, f in {**folders, **dict.fromkeys(changed, folder)}.items()]

@@ -76,3 +76,24 @@ def test_one_of_two_merges_at_a_time_fails(spark, tmp_path):
         with pytest.raises(Exception, match="(?i)exist"):
             record_store.merge_records(records(spark, ["c"]), path)
     assert {r.dataset_record_id for r in record_store.load_store(spark, path).collect()} == {"a", "b"}
+
+
+def test_records_that_no_change_meets_are_not_merged(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    record_store.create_store(spark, path, 2)
+    first = records(spark, [f"r{k}" for k in range(200)])
+    record_store.merge_records(first, path)
+    merged = []
+
+    def counted(df, label):
+        out = stored(df, label)
+        if label == "merged":
+            merged.append(out.count())
+        return out
+
+    stored = record_store.stored
+    monkeypatch.setattr(record_store, "stored", counted)
+    changes = records(spark, ["r7", "r8", "new", None], "later", AT + datetime.timedelta(1))
+    assert record_store.merge_records(changes, path) == [0, 1] and record_store.merge_records(changes, path) == []
+    assert merged == [4, 4]
+    assert flat(record_store.load_store(spark, path)) == flat(evalset.upsert_records(first, changes))
