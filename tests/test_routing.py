@@ -1,5 +1,5 @@
 import pytest
-from conftest import day, rows
+from conftest import day, plan_of, rows
 
 from carepath.operators import routing
 from carepath.sources import traces as trace_sources
@@ -113,3 +113,37 @@ def test_dispatch_reads_each_claim_table_once_before_the_tools_run(spark, tmp_pa
     found = routing.wanted_rows(requests.selectExpr("request_id call_id", *requests.columns[1:]), stored)
     assert sorted((r.claim_id, r._tools) for r in found.diagnosis.collect())[1] == ("c2", ["claims_by_diagnosis"])
     assert len(set(found.diagnosis.where("claim_id = 'c1'").first()._tools)) == 6
+
+
+def test_whole_claim_rows_move_by_patient_only_and_answers_not_again(spark, tmp_path, monkeypatch):
+    from carepath.sources.claims import read_claims, write_claims
+
+    made = claims_of(
+        spark,
+        enrollment=[("a", "F", "1980", "1", "NY", DATE, None, "m", "x")],
+        medical_claim=[("c1", "a", DATE, None, "er", "x"), ("c2", "b", DATE, None, "er", "x")],
+        diagnosis=[diag("c1", "a", "2021-01-01", "Z1"), diag("c2", "b", "2021-01-01", "Z1"), diag("c3", "b", "2021-01-01", "Z2")],
+        pharmacy_claim=[fill("c1", "a", "2021-01-01")],
+    )
+    write_claims(made, str(tmp_path / "claims"))
+    asked = [(f"{k}-{tool}", tool, "a", DATE, "c1", "1", "Z1") for k in range(2) for tool in routing.ARGUMENTS]
+    requests = spark.createDataFrame(
+        [*asked, ("none", "claims_by_diagnosis", None, None, None, None, "Z9")],
+        "request_id string, tool string, patient_id string, service_date date, claim_id string, ndc string, diagnosis_code string",
+    )
+    plans, stored = {}, routing.stored
+    monkeypatch.setattr(routing, "stored", lambda df, label: plans.update({label: plan_of(df)}) or stored(df, label))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        answers = routing.tool_dispatch(requests, read_claims(spark, str(tmp_path / "claims")))
+        # sorted rows of a table meet the asked patients, and no other key, in a join that shuffles
+        assert [plans[f"wanted-{t}"].count("SortMergeJoin") for t in ("enrollment", "medical_claim", "diagnosis", "pharmacy_claim")] == [1] * 4
+        lookup = plan_of(answers.where("tool = 'get_patient_diagnoses' and status <> 'error'"))
+        # the ranked rows by patient, the requests by patient, and nothing after the join
+        assert lookup.count("Exchange hashpartitioning(patient_id") == lookup.count("Exchange hashpartitioning(") == 2
+        got = answers.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    by_code = sorted((r.request_id, r.status, r.claim_id) for r in got if r.tool == "claims_by_diagnosis")
+    assert by_code == [(f"{k}-claims_by_diagnosis", "ok", c) for k in range(2) for c in ("c1", "c2")] + [("none", "empty", None)]
